@@ -2,9 +2,9 @@
 
 A merge-type vocabulary is applied by keeping every adjacent pair of symbols that forms a
 piece in an agenda, best score first and leftmost among equals. The vocabulary is inspected
-once: where no piece holds the space mark after another character, merges never cross from
-one word to the next, and each chunk (its space marks and what follows) can be encoded by
-itself and remembered. New chunks of one length are merged together: their agendas are the
+once: where no piece crosses from letters to other characters or holds the space mark after
+either, merges never cross there, and each chunk (space marks and a run of letters or of
+others) can be encoded by itself and remembered. New chunks of one length are merged together: their agendas are the
 rows of one matrix of pair costs, and each round takes every row's first best pair. Long
 chunks and those with characters outside the vocabulary have a heap each. Every chunk that an Arrow batch brings anew is also encoded by the
 sentencepiece library in one call; a difference stops the job. Decoding is the library's.
@@ -26,11 +26,16 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 #: Chunks that a worker remembers before it starts afresh: bounds its memory.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 600_000
 #: Longer chunks (texts without spaces) are not remembered.
 CACHE_CHARS = 64
 #: Chunks up to this length are merged in matrices.
-MATRIX_CHARS = 24
+MATRIX_CHARS = 64
+#: Ways to cut a text, finest first; one serves if it leaves every piece of the model whole.
+#: OTHER stands for characters that count as word characters but are no letters.
+CUTS = (rf"{MARK}*(?:[^\W\d_OTHER]+|(?:[^\w{MARK}]|[\d_OTHER])+)|{MARK}+", rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Stands before a chunk without a mark when the library encodes it.
+STANDS_BEFORE = ("a", ".")
 
 
 class Agenda:
@@ -54,7 +59,9 @@ class Agenda:
                 self.ids[piece] = self.packed(i)
         self.unknown = self.packed(lib.unk_id())
         self.has_bytes = all(self.byte_ids)
-        self.by_word = not any(MARK in p.lstrip(MARK) for p in self.cost)
+        other = {c for p in self.cost for c in p if c.isalnum() and not c.isalpha()}
+        cuts = (re.compile(c.replace("OTHER", re.escape("".join(sorted(other))))) for c in CUTS)
+        self.cut = next((c.findall for c in cuts if all(c.fullmatch(p) and c.findall(p) == [p] for p in self.cost)), None)
         self.begin, self.end = self.packed(lib.bos_id()), self.packed(lib.eos_id())
         self.known: dict[str, bytes] = {}
         self.tabulate()
@@ -182,35 +189,41 @@ class Agenda:
         return b"".join(out)
 
     def chunks(self, text: str) -> list[str]:
-        """The text with its leading space mark, cut before each run of marks."""
+        """The text with its leading space mark, cut where no piece can cross."""
         if not text:
             return []
         marked = MARK + text.replace(" ", MARK)
-        return re.findall(f"{MARK}+[^{MARK}]*", marked) if self.by_word else [marked]
+        return self.cut(marked) if self.cut else [marked]
 
     def check(self, chunks: list[str]) -> None:
         """The library must encode each chunk alike (it adds the first mark itself)."""
+        before = [MARK + c for c in STANDS_BEFORE]
+        for chunk in before:
+            self.known[chunk] = self.encode_chunk(chunk)
         # A lone mark would be the library's empty text, which it encodes as nothing.
         chunks = [c for c in chunks if c != MARK]
-        theirs = self.library.encode([c[1:] for c in chunks], num_threads=1)
-        flat = np.fromiter(itertools.chain.from_iterable(theirs), "<u4")
-        if flat.tobytes() != b"".join(map(self.known.__getitem__, chunks)):
-            wrong = next(c for c, ids in zip(chunks, theirs, strict=True) if np.array(ids, "<u4").tobytes() != self.known[c])
+        stand = [None if c[0] == MARK else before[c[0].isalpha()] for c in chunks]
+        theirs = self.library.encode([c[1:] if s is None else s[1:] + c for c, s in zip(chunks, stand, strict=True)], num_threads=1)
+        known = self.known
+        ours = [known[c] if s is None else known[s] + known[c] for c, s in zip(chunks, stand, strict=True)]
+        if np.fromiter(itertools.chain.from_iterable(theirs), "<u4").tobytes() != b"".join(ours):
+            wrong = next(c for c, ids, own in zip(chunks, theirs, ours, strict=True) if np.array(ids, "<u4").tobytes() != own)
             raise ValueError(f"differs from the library on {wrong!r}")
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, little-endian unsigned 32-bit, with begin and end."""
         known = self.known
         for start in range(0, len(texts), 256):
-            cut = [self.chunks(t) for t in texts[start : start + 256]]
             if len(known) > CACHE_CHUNKS:
                 known.clear()
-            fresh = list({c for chunks in cut for c in chunks} - known.keys())
+            cut = [self.chunks(t) for t in texts[start : start + 256]]
+            found = [list(map(known.get, chunks)) for chunks in cut]
+            fresh = list({c for chunks, got in zip(cut, found, strict=True) if None in got for c, ids in zip(chunks, got, strict=True) if ids is None})
             if fresh:
                 self.encode_chunks(fresh)
                 self.check(fresh)
-            for chunks in cut:
-                yield b"".join([self.begin, *map(known.__getitem__, chunks), self.end])
+            for chunks, got in zip(cut, found, strict=True):
+                yield b"".join([self.begin, *(map(known.__getitem__, chunks) if None in got else got), self.end])
             for chunk in fresh:
                 if len(chunk) > CACHE_CHARS:
                     del known[chunk]
