@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lsm_dedup, mixing, repetition, sentencepiece_bpe, url_filter, warc
+from . import lsm_dedup, mixing, pii, repetition, secrets, sentencepiece_bpe, url_filter, warc
 from .common import new_folder, table
 
 
@@ -19,6 +19,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest_columns(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -44,6 +52,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_pii": op2_pii,
+    "op3_secrets": op3_secrets,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_repetition": op6_repetition,
     "op7_mixing": op7_mixing,
