@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lsm_dedup, mixing, pii, repetition, secrets, sentencepiece_bpe, url_filter, warc
+from . import lsm_dedup, mixing, ngram_join, pii, repetition, secrets, sentencepiece_bpe, url_filter, warc
 from .common import new_folder, table
 
 
@@ -50,6 +50,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_pii": op2_pii,
@@ -59,6 +63,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLES = {
