@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lsm_dedup, mixing, ngram_join, pii, repetition, secrets, sentencepiece_bpe, url_filter, warc
+from . import lsm_dedup, mixing, ngram_join, pii, repetition, secrets, sentencepiece_bpe, toxicity, url_filter, warc
 from .common import new_folder, table
 
 
@@ -27,6 +27,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_pii": op2_pii,
     "op3_secrets": op3_secrets,
+    "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_repetition": op6_repetition,
     "op7_mixing": op7_mixing,
