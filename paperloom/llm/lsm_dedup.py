@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, text_or_empty
+from .common import materialise, new_folder, text_or_empty
 
 #: Broadcast the table of hits up to this many bytes, else join by shuffle.
 BROADCAST_BYTES = 16 << 20
@@ -115,3 +115,22 @@ def _kept(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.select("id", "keep_id", F.coalesce("group_size", "copies").alias("group_size"), "digest", copies.alias("copy")).select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "digest"
     )
+
+
+def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
+    """docs with one row of each group of equal texts, all columns. The dropped rows are
+    anti-joined by identifier and digest; their table is broadcast up to a checked size."""
+    name = "_digest"
+    while name in docs.columns:
+        name += "_"
+    judged = exact_dedup(docs, id_col=id_col, text_col=text_col, keep=keep)
+    judged = materialise(judged.select(F.col(id_col).alias("_id"), "keep_id", "kept", F.col("digest").alias("_d")), "lsm-judged")
+    rows = docs.withColumn(name, digest_of(text_or_empty(text_col), 32))
+    match = rows[id_col].eqNullSafe(F.col("_id")) & (rows[name] == F.col("_d"))
+    gone = judged.filter(~F.col("_id").eqNullSafe(F.col("keep_id"))).select("_id", "_d")
+    repeated = judged.filter(~F.col("kept") & F.col("_id").eqNullSafe(F.col("keep_id"))).select("_id", "_d").distinct()
+    out = rows.join(_sized(gone, gone.count(), 40), match, "left_anti")
+    if not repeated.isEmpty():  # rows that repeat identifier and text
+        once = out.join(repeated, match, "left_semi").dropDuplicates([id_col, name])
+        out = out.join(repeated, match, "left_anti").unionByName(once)
+    return out.drop(name)

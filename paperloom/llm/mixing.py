@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,7 +135,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     taken = _prefix("last", block) - _prefix("first", block)
     return rows.select(
         F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"),
-        "first", "blocks", F.col("shard_quota").alias("quota"), "offset", F.lit(block).cast("long").alias("block_words"),
+        "turn", "first", "blocks", F.col("shard_quota").alias("quota"), "offset", F.lit(block).cast("long").alias("block_words"),
     )
 
 
@@ -174,8 +176,6 @@ def shard_quotas(shards: DataFrame, block: int, max_repeats: int) -> DataFrame:
 def copies_of(text: str | None, first: int, blocks: int, quota: int, offset: int, block_words: int) -> list[str]:
     """The texts that the mix takes of one document: its words in blocks taken once, then in
     blocks taken twice and so on, each as one text with its own white space."""
-    import re
-
     if not text or not blocks:
         return []
     times = lambda j: (j * quota * 1_000_000 + offset * blocks) // (blocks * 1_000_000)
@@ -194,3 +194,29 @@ def copies_of(text: str | None, first: int, blocks: int, quota: int, offset: int
                 runs[k].append([a, b])
     pieces = lambda run: [text[0 if a == 0 else spans[a][0] : len(text) if b == len(spans) else spans[b - 1][1]] for a, b in run]
     return [" ".join(pieces(run)) for run in runs if run]
+
+
+def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **settings) -> DataFrame:
+    """The mix itself: docs' columns, one row for each text that copies_of() takes of a document
+    (chars_col, where docs has it, tells its new length)."""
+    seed = settings.setdefault("seed", 20)
+    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **settings).filter("taken > 0")
+    plan = materialise(plan.select(F.col(id_col).alias("_id"), F.col("turn").alias("_turn"), "first", "blocks", "quota", "offset", "block_words"), "mix-plan")
+    held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
+    held = held.withColumns({"_id": F.col(f"doc.`{id_col}`"), "_turn": F.xxhash64(F.lit(seed), f"doc.`{id_col}`", f"doc.`{text_col}`")})
+    if plan.count() > plan.select("_id", "_turn").distinct().count():  # equal rows: each place once
+        held = held.dropDuplicates(["_id", "_turn"])
+    joined = held.join(plan.withColumnRenamed("_id", "_p").withColumnRenamed("_turn", "_t"), F.col("_id").eqNullSafe(F.col("_p")) & (F.col("_turn") == F.col("_t")))
+
+    @F.pandas_udf("array<string>")
+    def taken(text: pd.Series, first: pd.Series, blocks: pd.Series, quota: pd.Series, offset: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([copies_of(*map(_plain, row)) for row in zip(text, first, blocks, quota, offset, words, strict=True)])
+
+    texts = taken(F.col(f"doc.`{text_col}`"), "first", "blocks", "quota", "offset", "block_words")
+    out = joined.select("doc", F.explode(texts).alias("_taken"))
+    value = {text_col: F.col("_taken")} | ({chars_col: F.length("_taken").cast(dict(docs.dtypes)[chars_col])} if chars_col in docs.columns else {})
+    return out.select(*(value.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
+
+
+def _plain(value):
+    return value if isinstance(value, str) or value is None else int(value)

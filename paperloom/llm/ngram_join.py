@@ -317,3 +317,11 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         F.when(linked, F.coalesce("root", "rep")).otherwise(F.col("id")).alias("class_id"),
         F.when(linked, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
     )
+
+
+def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """docs with one document of each class, that with the least identifier; all columns.
+    Dropped identifiers are anti-joined; their table is broadcast up to a checked size."""
+    classes = ngram_join(docs, id_col=id_col, text_col=text_col, **settings)
+    gone = materialise(classes.filter(F.col("class_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct(), "ngram-gone")
+    return docs.join(_sized(gone, gone.count()), docs[id_col] == F.col("_gone"), "left_anti")
