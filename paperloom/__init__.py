@@ -1,0 +1 @@
+"""Document collections to reviewable Markdown, on Spark DataFrames."""
