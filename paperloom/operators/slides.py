@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions.regexkit import escaped, let, strip
+from ..sources.stage import stage
 
 NOWHERE = 10**12
 TITLES = ("title", "ctrTitle")
@@ -120,6 +121,7 @@ def convert(packages: DataFrame, slugs: DataFrame, notes: bool = True) -> DataFr
     styles = packages.select("doc_id", F.explode("body_styles").alias("b")).select("doc_id", "b.master", F.col("b.levels").alias("body_levels"))
     shapes = shapes.join(inherited(shapes, slides, holders), ["doc_id", "z"], "left")
     shapes = shapes.withColumns({"y": F.coalesce("y", "l.y", "m.y", F.lit(NOWHERE)), "x": F.coalesce("x", "l.x", "m.x", F.lit(0))})
+    shapes = stage(shapes, "slide-shapes")
     of_slide = slides.select("doc_id", "slide_no", "master").join(styles, ["doc_id", "master"], "left").drop("master")
     text = shapes.filter("kind = 'sp'").join(of_slide, ["doc_id", "slide_no"], "left")
     none = F.array().cast("array<struct<lvl:int,marker:string,decided:boolean,margin:int>>")
@@ -131,7 +133,7 @@ def convert(packages: DataFrame, slugs: DataFrame, notes: bool = True) -> DataFr
     pics = pics.select("doc_id", "z", F.concat(F.lit("!["), escaped(md.clean_alt(F.col("alt"))), F.lit("]("), path, F.lit(")")).alias("text"))
     other = shapes.filter("kind IN ('tbl', 'chart', 'smartart')").select("doc_id", "z", F.when(F.col("kind") == "tbl", table_text(F.col("cells"))).when(F.col("kind") == "chart", chart_text(F.col("title"), F.col("points"))).otherwise(smartart_text(F.col("texts"))).alias("text"))
     leaves = shapes.select("doc_id", "slide_no", "z", "ancestors", "notes", "kind", "ph_type", "y", "x", "height").join(bodies.unionByName(pics).unionByName(other), ["doc_id", "z"], "left").withColumn("text", F.coalesce("text", F.lit("")))
-    placed = grouped(leaves)
+    placed = stage(grouped(stage(leaves, "slide-leaves")), "slide-placed")
     order = Window.partitionBy("doc_id", "slide_no").orderBy("row", "x", "z")
     top = placed.filter("NOT notes").withColumn("place", F.row_number().over(order))
     titled = F.col("ph_type").isNull() & (F.col("y") < F.col("height") * 0.25) & ~F.col("text").contains("\n") & (F.length("text") <= 120) & ~F.col("text").rlike(r"^(?:-|\d+\.) |^!\[|^\|")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as md
 from ..functions.regexkit import escaped, let, strip
+from ..sources.stage import stage
 
 MAX_STYLE_DEPTH = 24
 ITEM = r"^\s*(?:-|\d+\.) "
@@ -185,8 +186,8 @@ def sections(placed: DataFrame) -> DataFrame:
 def convert(packages: DataFrame, slugs: DataFrame) -> DataFrame:
     """Units (doc_id, unit_no, title, markdown, warnings) of Word packages. A document without
     text has one empty section."""
-    lines = rendered(paragraphs(packages, slugs), packages)
-    placed = placed_blocks(blocks(lines))
+    lines = stage(rendered(stage(paragraphs(packages, slugs), "word-paragraphs"), packages), "word-lines")
+    placed = stage(placed_blocks(blocks(lines)), "word-blocks")
     cut = sections(placed)
     refs = placed.select("doc_id", "unit_no", "block", F.explode("notes").alias("n")).select("doc_id", "unit_no", "block", F.col("n.number").alias("number"), F.col("n.at").alias("at"))
     first = refs.groupBy("doc_id", "number").agg(F.min(F.struct("unit_no", "block", "at")).alias("f"))

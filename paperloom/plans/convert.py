@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
@@ -19,6 +19,7 @@ from ..functions.pages import Options, parse_pages
 from ..operators import slides, units, word
 from ..sources import docx, pptx
 from ..sources.files import core_properties, with_format
+from ..sources.stage import stage
 
 NO_EXTRACTOR = "geen PDF-extractor ingesteld"
 UNIT_COLUMNS = ("doc_id", "kind", "unit_no", "title", "markdown", "warnings", "masked", "chars", "tables")
@@ -64,17 +65,17 @@ def convert(files: DataFrame, options: Options = Options(), pages: str = "", pdf
     """files (doc_id, relative, name, content) to a Conversion. content goes no further than
     the package readers."""
     known = with_format(files)
-    words = docx.read_packages(known.filter("kind = 'docx'"))
-    decks = pptx.read_packages(known.filter("kind = 'pptx'"))
+    words = stage(docx.read_packages(known.filter("kind = 'docx'")), "word-packages")
+    decks = stage(pptx.read_packages(known.filter("kind = 'pptx'")), "slide-packages")
     slug = F.when(F.col("kind") == "pdf", md.slug_pdf(F.col("name"))).otherwise(md.slug_office(F.col("name"), F.when(F.col("kind") == "pptx", F.lit("presentatie")).otherwise(F.lit("document"))))
-    slugs = known.select("doc_id", slug.alias("slug"))
+    slugs = stage(known.select("doc_id", slug.alias("slug")), "slugs")
     found = word.convert(words, slugs).withColumn("kind", F.lit("docx")).unionByName(slides.convert(decks.filter("error IS NULL"), slugs, options.speaker_notes).withColumn("kind", F.lit("pptx")))
     if options.ignore_images:
         found = found.withColumn("markdown", md.strip_images(F.col("markdown")))
     errors = words.select("doc_id", "error", "core").unionByName(decks.select("doc_id", "error", "core"))
     if pdf is not None:
         found = found.unionByName(pdf(known.filter("kind = 'pdf'"), options).withColumn("kind", F.lit("pdf")))
-    listed = known.drop("content", "length", "modificationTime").join(errors, "doc_id", "left")
+    listed = stage(known.drop("content", "length", "modificationTime"), "files").join(errors, "doc_id", "left")
     status = F.coalesce("status", "error", F.when((F.col("kind") == "pdf") & F.lit(pdf is None), F.lit(NO_EXTRACTOR)))
     listed = listed.withColumns({"status": status, "slug": slug, "props": core_properties(F.col("core"))}).drop("core", "error")
     listed = listed.withColumn("title", md.title_of(F.col("props.title"), F.col("slug")))
@@ -83,6 +84,7 @@ def convert(files: DataFrame, options: Options = Options(), pages: str = "", pdf
         found = found.join(total, "doc_id").filter(F.array_contains(parse_pages(F.lit(pages), F.col("total")), F.col("unit_no"))).drop("total")
     found = found.withColumns({"masked": F.create_map().cast("map<string,int>"), "chars": F.length("markdown"), "tables": md.table_count(F.col("markdown"))})
     found = units.mask_units(found, options.anonymize, streets=streets).select(*UNIT_COLUMNS)
+    found = stage(found, "units")
     return Conversion(listed, found, figures_of(words, decks, slugs, options), options)
 
 
@@ -90,8 +92,6 @@ def figures_of(words: DataFrame, decks: DataFrame, slugs: DataFrame, options: Op
     """(doc_id, path, bytes): images under the names that the Markdown links to. Bytes are joined
     by part, apart from the text."""
     in_words = word.figures(words, slugs).select("doc_id", "part", "path")
-    from pyspark.sql import Window
-
     pics = decks.select("doc_id", F.explode("shapes").alias("s")).filter("s.kind = 'pic'").join(slugs, "doc_id")
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("s.slide_no", "s.z"))
     path = F.concat(F.lit("figures/"), F.col("slug"), F.lit("-dia"), F.col("s.slide_no").cast("string"), F.lit("-img"), n.cast("string"), F.lower(F.regexp_extract("s.image", r"(\.[^./]*)$", 1)))
