@@ -404,7 +404,7 @@ def page_warnings(spark, sf):
 
 @query(
     "WITH n AS (SELECT conv_id, count(*) AS pages FROM conversations GROUP BY 1), s AS (SELECT c.conv_id, c.turn, length(trim(text)) AS n, role = 'assistant' AS bold FROM conversations c JOIN n USING (conv_id) WHERE turn % greatest(1, pages // 12) = 0 AND turn / greatest(1, pages // 12) < 12) "
-    "SELECT conv_id AS doc_id, coalesce(sum(CASE WHEN bold THEN n ELSE 0 END) / nullif(sum(n), 0), 0.0) AS coverage FROM s GROUP BY 1"
+    "SELECT conv_id AS doc_id, CAST(coalesce(sum(CASE WHEN bold THEN n ELSE 0 END) / nullif(sum(n), 0), 0) AS DOUBLE) AS coverage FROM s GROUP BY 1"
 )
 def emphasis_coverage(spark, sf):
     c = t(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page"), "text", F.when(F.col("role") == "assistant", 20).otherwise(4).alias("flags"))
@@ -415,7 +415,7 @@ def emphasis_coverage(spark, sf):
     "WITH p AS (SELECT source AS doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, lang FROM documents), n AS (SELECT doc_id, count(*) AS pages FROM p GROUP BY 1), "
     "s AS (SELECT doc_id, 'blad ' || lang AS k FROM p JOIN n USING (doc_id) WHERE (page - 1) % greatest(1, pages // 12) = 0 AND (page - 1) / greatest(1, pages // 12) < 12 AND pages >= 3), "
     "c AS (SELECT doc_id, k, count(*) AS hits, sum(count(*)) OVER (PARTITION BY doc_id) AS n FROM s GROUP BY 1, 2) "
-    "SELECT n.doc_id, CASE WHEN bool_or(hits >= greatest(2, floor(c.n * 0.6))) THEN 12.0 ELSE 0.0 END AS top, CASE WHEN bool_or(hits >= greatest(2, floor(c.n * 0.6))) THEN 8.5 ELSE 0.0 END AS bottom FROM n LEFT JOIN c ON c.doc_id = n.doc_id GROUP BY 1"
+    "SELECT n.doc_id, CASE WHEN bool_or(hits >= greatest(2, floor(c.n * 0.6))) THEN CAST(12 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS top, CASE WHEN bool_or(hits >= greatest(2, floor(c.n * 0.6))) THEN CAST(8.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS bottom FROM n LEFT JOIN c ON c.doc_id = n.doc_id GROUP BY 1"
 )
 def suggest_margins(spark, sf):
     from pyspark.sql import Window
@@ -438,7 +438,7 @@ def systematic_sample(spark, sf):
 @query(
     "WITH a AS (SELECT trim(unnest(string_split(text, chr(10)))) AS line FROM documents), b AS (SELECT trim(unnest(string_split(text, chr(10)))) AS line FROM benchmark), x AS (SELECT line, count(*) AS n FROM a WHERE line <> '' GROUP BY 1), y AS (SELECT line, count(*) AS m FROM b WHERE line <> '' GROUP BY 1), "
     "j AS (SELECT coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM x FULL OUTER JOIN y USING (line)) SELECT CAST(sum(greatest(n - m, 0)) AS BIGINT) AS missing, CAST(sum(greatest(m - n, 0)) AS BIGINT) AS extra, CAST(sum(n) AS BIGINT) AS lines_a, CAST(sum(m) AS BIGINT) AS lines_b, "
-    "1 - greatest(sum(greatest(n - m, 0)), sum(greatest(m - n, 0))) / greatest(sum(n), sum(m), 1) AS agreement FROM j"
+    "CAST(1 - greatest(sum(greatest(n - m, 0)), sum(greatest(m - n, 0))) / greatest(sum(n), sum(m), 1) AS DOUBLE) AS agreement FROM j"
 )
 def line_multiset_diff(spark, sf):
     lines = lambda name: t(spark, sf, name).select(F.explode(F.split("text", "\n")).alias("line"))
