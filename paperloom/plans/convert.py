@@ -60,6 +60,21 @@ class Conversion:
             F.when(F.col("status").isNull(), F.lit("klaar")).otherwise(F.concat(F.lit("mislukt: "), F.col("status"))).alias("status"),
         )
 
+    def review_report(self, edits: DataFrame) -> DataFrame:
+        """The report with what reviewers did: units looked at and changed."""
+        seen = units.counters(units.with_edits(self.units, edits)).join(self.files.select("doc_id", F.col("relative").alias("pad")), "doc_id")
+        rows = self.report().join(seen.select("pad", F.col("reviewed").alias("nagekeken"), F.col("edited").alias("aangepast")), "pad", "left")
+        rows = rows.withColumnRenamed("map", "map in zip").fillna(0, ["nagekeken", "aangepast"])
+        return rows.select(*units.REVIEW_REPORT)
+
+
+def with_margins(suggested: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """(doc_id, top, bottom): what a user chose (a null is no choice), else what was suggested."""
+    if chosen is None:
+        return suggested
+    mine = chosen.select("doc_id", F.col("top").alias("_t"), F.col("bottom").alias("_b"))
+    return suggested.join(mine, "doc_id", "left").select("doc_id", F.coalesce("_t", "top").alias("top"), F.coalesce("_b", "bottom").alias("bottom"))
+
 
 def convert(files: DataFrame, options: Options = Options(), pages: str = "", pdf: Callable[[DataFrame, Options], DataFrame] | None = None, streets: Sequence[str] = ()) -> Conversion:  # noqa: B008
     """files (doc_id, relative, name, content) to a Conversion. content goes no further than

@@ -5,6 +5,7 @@ import packages
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.__main__ import main
 from paperloom.functions.pages import Options
 from paperloom.plans.convert import convert
 from paperloom.sources.files import collect
@@ -75,6 +76,8 @@ def test_documents_and_figures(spark, made, tmp_path):
     figures = {r.path: bytes(r.bytes) for r in made.figures.collect()}
     assert figures == {"figures/nota-img1.png": b"png", "figures/deck-dia3-img1.png": b"img"}
     edits = made.units.filter("kind = 'docx' AND unit_no = 4").select("doc_id", "unit_no", F.lit("edited").alias("edited"), F.lit(True).alias("reviewed"))
+    row = made.review_report(edits).filter("formaat = 'docx'").first()
+    assert (row.nagekeken, row.aangepast, row["map in zip"]) == (1, 1, "nota-e")
     assert any("edited" in r.document for r in made.documents(edits).collect())
     entries = made.documents().select("doc_id", F.lit("x.md").alias("name"), F.encode("document", "utf-8").alias("content"))
     archive = zip_documents(entries).first().archive
@@ -104,6 +107,12 @@ def test_options(spark, decks):
         Options.of({"anonymize": ["nope"]})
 
 
+def test_command_line(spark, decks, tmp_path, capsys):
+    assert main([decks, "-o", str(tmp_path / "out"), "--no-images", "--anonymize", "none"]) == 0
+    text = "".join(r.value + "\n" for r in spark.read.text(str(tmp_path / "out" / "documents")).collect())
+    assert "## Dia 1: Deck title" in text and "deck.pptx;deck.pptx;pptx;3 slides;3;1;;deck;klaar" in capsys.readouterr().err
+
+
 def test_probe_by_stream(spark, decks, tmp_path):
     """A stream converts like a batch."""
     out = str(tmp_path / "units")
