@@ -233,7 +233,7 @@ def degenerate_tables(spark, sf):
 
 
 TOCS = [
-    (1, "## Rotterdam als\n\nwereldhaven\ntext", [(1, "Rotterdam als wereldhaven")], "# Rotterdam als wereldhaven\ntext", 1),
+    (1, "## Delta als\n\nwaterwerk\ntext", [(1, "Delta als waterwerk")], "# Delta als waterwerk\ntext", 1),
     (2, "# Heel\n> quote", [(1, "Heel anders")], "# Heel\n> quote", 0),
     (3, "text", [], "text", 0),
 ]
