@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .spans import let
 
 #: (rule, verdict): host, then the start of the path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -64,13 +65,9 @@ def symbols(text: Column) -> Column:
 
 def codes(text: Column) -> Column:
     """The code of every run of four symbols of the text between marks of its start and end."""
-    padded = F.concat(F.lit("   "), text, F.lit(" "))
-    step = lambda acc, s: F.struct(
-        F.shiftleft(acc["last"].bitwiseAND(32767), 5).bitwiseOR(s).alias("last"),
-        F.array_append(acc["all"], F.shiftleft(acc["last"].bitwiseAND(32767), 5).bitwiseOR(s)).alias("all"),
-    )
-    start = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("all"))
-    return F.aggregate(symbols(padded), start, step, lambda acc: F.slice(acc["all"], ORDER, F.greatest(F.size(acc["all"]) - 3, F.lit(0))))
+    at = lambda s, i: F.get(s, i)
+    code = lambda s, i: F.shiftleft(at(s, i), 15).bitwiseOR(F.shiftleft(at(s, i + 1), 10)).bitwiseOR(F.shiftleft(at(s, i + 2), 5)).bitwiseOR(at(s, i + 3))
+    return let(symbols(F.concat(F.lit("   "), text, F.lit(" "))), lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - ORDER), lambda i: code(s, i)))
 
 
 def model(examples: DataFrame) -> DataFrame:
@@ -128,15 +125,15 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
     base = base.withColumns({"rule": rule, "says": says, "rejected": seed})
     # Schemes tell nothing of the page; very long URLs are read whole.
     base = base.withColumn("codes", F.when(F.col("host") == "", F.array().cast("array<int>")).otherwise(codes(F.concat("host", "path"))))
+    base = materialise(base, "url-codes")  # read three times below
     held_out = F.pmod(F.crc32(F.concat("host", "path")), F.lit(5)) == 0
     example = (F.col("host") != "") & (F.col("rejected") | F.col("says").isNull() | (F.col("says") == "allow"))
     weights = model(base.filter(example & ~held_out))
     array = F.transform(F.array_sort(F.collect_list(F.struct("code", "weight"))), lambda x: x["weight"])
-    weights = materialise(weights.agg(array.alias("weights")), "url-model")  # one row of 4 MB
-    one = F.broadcast(weights.withColumn("one", F.lit(0)))
+    one = F.broadcast(materialise(weights.agg(array.alias("weights")).withColumn("one", F.lit(0)), "url-model"))  # one row of 4 MB
     with_model = lambda df: df.withColumn("one", F.pmod(F.hash("host"), F.lit(1))).join(one, "one")
     scored = with_model(base.filter(example & held_out)).select("rejected", score(F.col("codes"), F.col("weights")).alias("score"))
-    cut = F.broadcast(materialise(threshold(scored, max_false_rejects), "url-threshold").withColumn("one", F.lit(0)))
+    cut = F.broadcast(materialise(threshold(scored, max_false_rejects).withColumn("one", F.lit(0)), "url-threshold"))
     out = with_model(base).withColumn("score", score(F.col("codes"), F.col("weights"))).drop("weights").join(cut, "one")
     verdict = F.coalesce(F.col("says"), F.when(F.col("score") > F.col("threshold"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score", "threshold")
