@@ -10,7 +10,8 @@ The score is the log-likelihood difference (rejected minus accepted) per charact
 Examples: rejected are URLs whose host holds one of the seed words, accepted all others but
 those that a rule blocks (rules block by language or zone, not by kind). The threshold is
 calibrated on a held-out fifth of them: of 1,001 cuts, the one with the least sum of the two
-error rates among those that reject at most max_false_rejects of the accepted ones.
+error rates among those that reject at most max_false_rejects of the accepted ones, half
+way to the next score that occurs.
 
 Characters are mapped to 32 symbols, so the models have 32**4 entries at most, whatever the
 input; they travel as one array in a one-row table. No URL or text is shuffled.
@@ -107,11 +108,12 @@ def threshold(scored: DataFrame, max_false_rejects: float) -> DataFrame:
     up, all_rows = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rates = bins.select(  # 1,001 rows at most
         "bin",
+        F.coalesce(F.lead("bin").over(Window.orderBy("bin")), F.col("bin")).alias("next_bin"),
         (F.sum("r").over(up) / F.sum("r").over(all_rows)).alias("missed"),
         (1 - F.sum("a").over(up) / F.sum("a").over(all_rows)).alias("false_rejects"),
     )
     best = rates.filter((F.col("false_rejects") <= max_false_rejects) & F.col("missed").isNotNull())
-    return best.agg(F.min_by(F.col("bin") / 100, F.struct(F.col("missed") + F.col("false_rejects"), -F.col("bin"))).alias("threshold"))
+    return best.agg(F.min_by((F.col("bin") + F.col("next_bin")) / 200, F.struct(F.col("missed") + F.col("false_rejects"), -F.col("bin"))).alias("threshold"))
 
 
 def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, seeds=SEEDS, max_false_rejects: float = 0.005) -> DataFrame:
@@ -135,5 +137,5 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
     scored = with_model(base.filter(example & held_out)).select("rejected", score(F.col("codes"), F.col("weights")).alias("score"))
     cut = F.broadcast(materialise(threshold(scored, max_false_rejects).withColumn("one", F.lit(0)), "url-threshold"))
     out = with_model(base).withColumn("score", score(F.col("codes"), F.col("weights"))).drop("weights").join(cut, "one")
-    verdict = F.coalesce(F.col("says"), F.when(F.col("score") > F.col("threshold"), F.lit("block")).otherwise(F.lit("allow")))
+    verdict = F.coalesce(F.col("says"), F.when((F.col("host") != "") & (F.col("score") > F.col("threshold")), F.lit("block")).otherwise(F.lit("allow")))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score", "threshold")
