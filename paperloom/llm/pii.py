@@ -4,11 +4,16 @@ Base spans (e-mail, IP address, payment card, phone) come from fixed patterns an
 Generators propose further spans, which may overlap: spelled-out or spaced e-mail addresses
 and digit groups of any layout. Each candidate gets format and context features, all of them
 small classes, so all candidates of all documents come down to a table of feature cells with
-counts (CELLS at most). Boosted trees are fitted to that table: a candidate counts as
-positive if it covers a valid base span of its kind, and features leave out the checks that
-made it valid. A fifth of the documents is held out to set the threshold: the least margin
-at which, by isotonic regression, at least `precision` of held-out candidates are positive. Trees are
-applied as CASE expressions to candidates that overlap no base span.
+counts (CELLS at most). Boosted trees are fitted to that table. A candidate counts as positive
+if it covers a valid base span of its kind, or in a form that base patterns do not read: an
+address with separators that only addresses have (or words for all of them, after a word like
+"mail") that is valid once they are written plainly; a number whose digits make a valid card;
+a phone's count of digits after a word like "call". Each base address and phone is also
+counted in such forms (spelled out; without its country code, after such a word), so the trees
+know them where texts hold few. Features leave out the checks that made base spans valid. A
+fifth of the documents is held out to set the threshold: the least margin at which, by isotonic
+regression, at least `precision` of held-out candidates are positive. Trees are applied as CASE
+expressions to candidates that overlap no base span and are valid in one of those forms.
 
 Null text counts as empty and gives no spans. Rows that repeat are judged each; other columns
 are left aside. Without any positive candidate nothing is added.
@@ -35,8 +40,15 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 MAIL_LIKE = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@|\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?|\x20(?:at|AT)\x20)[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[\[(]\x20?(?:dot|DOT)\x20?[\])]\x20?|\x20(?:dot|DOT)\x20)[A-Za-z0-9-]{1,63}+){1,6}+"
 NUMBER_LIKE = r"(?<![0-9A-Za-z+(.])[+(]?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}+(?![0-9])"
 BEFORE, AFTER = 24, 4
+#: Separators of spelled addresses, in brackets or as words.
+AT, DOT = r"(?:\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?|\x20(?:at|AT)\x20)", r"(?:\x20?[\[(]\x20?(?:dot|DOT)\x20?[\])]\x20?|\x20(?:dot|DOT)\x20)"
+#: Words before an address or a phone number, in lower case; a number follows closely.
+MAIL_WORD = r"(?:mail|contact|write|courriel|correo)[^.!?]*$"
+CALL_WORD = r"(?<![a-z])(?:tel|tele[fp][a-zé]*+|phone|call|mobile|cell|fax|(?:an)?rufe?n?|ll[aá]m[a-z]*+|appele[rz])(?![a-z])\.?[^.!?0-9]{0,16}$"
+#: Year, month and day, or the reverse: no candidate, whatever word comes before.
+DATE = r"^(?:[12][0-9]{3}([.-])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])([.-])(?:0?[1-9]|[12][0-9]|3[01])\2[12][0-9]{3})$"
 #: Feature: number of classes.
-FEATURES = {"mail": 2, "digits": 8, "groups": 4, "opens": 3, "paren": 2, "dots": 3, "spelled": 2, "word": 5, "touches": 2}
+FEATURES = {"mail": 2, "digits": 8, "groups": 4, "opens": 3, "paren": 2, "dots": 3, "spelled": 4, "word": 5, "touches": 2}
 CELLS = math.prod(FEATURES.values())
 LEARNING_RATE, ROUNDS = 0.3, 40
 
@@ -53,14 +65,30 @@ def ip_parts_fit(m: Column) -> Column:
     return F.forall(F.split(m, r"\."), lambda p: F.regexp_replace(p, "^0+", "").rlike("^(?:[0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    valid = {
-        "email": find(text, EMAIL),
+def card_fits(m: Column) -> Column:
+    return F.length(digits(m)).between(13, 19) & luhn(digits(m))
+
+
+def valid_matches(text: Column, before: int = 0, after: int = 0) -> dict[str, Column]:
+    return {
+        "email": find(text, EMAIL, before, after),
         "ip": F.filter(find(text, IP), lambda s: ip_parts_fit(s["m"])),
-        "card": F.filter(find(text, CARD), lambda s: F.length(digits(s["m"])).between(13, 19) & luhn(digits(s["m"]))),
-        "phone": F.filter(find(text, PHONE), lambda s: F.length(digits(s["m"])).between(9, 15)),
+        "card": F.filter(find(text, CARD), lambda s: card_fits(s["m"])),
+        "phone": F.filter(find(text, PHONE, before, after), lambda s: F.length(digits(s["m"])).between(9, 15)),
     }
-    return {k: tagged(v, i, k) for i, (k, v) in enumerate(valid.items())}
+
+
+def base_spans(text: Column) -> dict[str, Column]:
+    return {k: tagged(v, i, k) for i, (k, v) in enumerate(valid_matches(text).items())}
+
+
+def spelling(m: Column) -> Column:
+    """0 plain, 1 some separator that only addresses have, 2 words for all, 3 a word and a plain dot."""
+    return F.when(m.contains("@"), F.when(m.rlike(DOT), 1).otherwise(0)).when(m.rlike(r"[\[(]"), 1).when(~F.substring_index(F.regexp_replace(m, AT, "@"), "@", -1).contains("."), 2).otherwise(3)
+
+
+def plain_address(m: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(m, AT, "@"), DOT, ".")
 
 
 def features(mail: bool, s: Column) -> list[Column]:
@@ -68,8 +96,8 @@ def features(mail: bool, s: Column) -> list[Column]:
     n = F.length(digits(m))
     groups = F.size(F.split(F.trim(F.regexp_replace(m, "[^0-9]+", " ")), " "))
     word = (
-        F.when(pre.rlike("(?:mail|contact|write|courriel|correo)[^.!?]*$"), 1)
-        .when(pre.rlike("(?:tel|phone|call|mobile|fax|ruf|llam)[^.!?]*$"), 2)
+        F.when(pre.rlike(MAIL_WORD), 1)
+        .when(pre.rlike(CALL_WORD), 2)
         .when(pre.rlike("(?:card|visa|credit|carte|karte|tarjeta)[^.!?]*$"), 3)
         .when(pre.rlike(r"(?:version|page|isbn|date|no\.|nr\.|#)[^.!?]*$"), 4)
         .otherwise(0)
@@ -77,12 +105,12 @@ def features(mail: bool, s: Column) -> list[Column]:
     dots = F.when(~m.contains("."), 0).when(m.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), 1).otherwise(2)
     return [
         F.lit(int(mail)),
-        F.when(n < 7, 0).when(n < 9, 1).when(n < 10, 2).when(n < 12, 3).when(n < 13, 4).when(n < 16, 5).when(n < 17, 6).otherwise(7),
-        F.least(groups, F.lit(4)) - 1,
-        F.when(m.startswith("+"), 1).when(m.startswith("("), 2).otherwise(0),
-        m.contains("(").cast("int"),
-        dots,
-        (~m.contains("@") & F.lit(mail)).cast("int"),
+        F.lit(0) if mail else F.when(n < 7, 0).when(n < 9, 1).when(n < 10, 2).when(n < 12, 3).when(n < 13, 4).when(n < 16, 5).when(n < 17, 6).otherwise(7),
+        F.lit(0) if mail else F.least(groups, F.lit(4)) - 1,
+        F.lit(0) if mail else F.when(m.startswith("+"), 1).when(m.startswith("("), 2).otherwise(0),
+        F.lit(0) if mail else m.contains("(").cast("int"),
+        F.lit(0) if mail else dots,
+        spelling(m) if mail else F.lit(0),
         word,
         (s["pre"].rlike("[A-Za-z]$") | s["post"].rlike("^[A-Za-z@]")).cast("int"),
     ]
@@ -96,14 +124,41 @@ def cell(mail: bool, s: Column) -> Column:
     return code
 
 
+def fits(mail: bool, s: Column, kind: Column) -> Column:
+    """Whether a candidate is valid in a form that base patterns do not read."""
+    m, pre = s["m"], F.lower(s["pre"])
+    if mail:
+        named = plain_address(m).rlike(f"^{EMAIL}$") & m.rlike("[A-Za-z]{2}$")
+        return named & ((spelling(m) == 1) | ((spelling(m) == 2) & pre.rlike(MAIL_WORD)))
+    touches = s["pre"].rlike("[A-Za-z]$") | s["post"].rlike("^[A-Za-z@]")
+    called = F.length(digits(m)).between(7, 12) & pre.rlike(CALL_WORD) & ~touches
+    return F.when(kind == "card", card_fits(m)).when(kind == "phone", called).otherwise(False)
+
+
+def twins(mail: bool, s: Column) -> Column:
+    """Cells of a base address or phone written in forms that base patterns do not read."""
+    m = s["m"]
+    twin = lambda text, pre=None: F.struct(text.alias("m"), (s["pre"] if pre is None else F.lit(pre)).alias("pre"), s["post"].alias("post"))
+    if mail:
+        name, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+        spelled = F.replace(domain, F.lit("."), F.lit(" dot "))
+        made = [twin(F.concat(name, F.lit(" [at] "), domain)), twin(F.concat(name, F.lit("@"), spelled)), twin(F.concat(name, F.lit(" [at] "), spelled)), twin(F.concat(name, F.lit(" at "), spelled), "mail ")]
+        return F.transform(F.array(*made), lambda x: cell(True, x))
+    local = F.regexp_replace(m, r"^\+(?:[0-9]{1,3}(?:[\x20.-]+|(?=\()))?+", "")
+    made = F.array(local, F.concat(F.lit("0"), local), F.regexp_replace(local, r"^([0-9]{2,4})[\x20.-]+", r"($1) "))
+    made = F.filter(made, lambda x: F.length(digits(x)).between(7, 12) & x.rlike(f"^{NUMBER_LIKE}$"))
+    return F.transform(F.transform(made, lambda x: twin(x, "call ")), lambda x: cell(False, x))
+
+
 def candidates(text: Column) -> Column:
-    """array<struct<start, end, cell, kind>>"""
+    """array<struct<start, end, cell, kind, fits>>"""
     def of(mail: bool, pattern: str) -> Column:
         def one(s):
             number = F.when(F.length(digits(s["m"])) >= 13, "card").when(s["m"].rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), "ip").otherwise("phone")
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), cell(mail, s).alias("cell"), (F.lit("email") if mail else number).alias("kind"))
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), cell(mail, s).alias("cell"), (F.lit("email") if mail else number).alias("kind"), fits(mail, s, number).alias("fits"))
 
-        return F.transform(find(text, pattern, BEFORE, AFTER), one)
+        found = find(text, pattern, BEFORE, AFTER)
+        return F.transform(found if mail else F.filter(found, lambda s: ~s["m"].rlike(DATE)), one)
 
     return F.concat(of(True, MAIL_LIKE), of(False, NUMBER_LIKE))
 
@@ -123,9 +178,9 @@ class Trees:
         self.start, self.trees = 0.0, []
         rows = [(split_cell(c), p, n) for c, p, n in cells]
         pos, neg = sum(r[1] for r in rows), sum(r[2] for r in rows)
-        if not pos or not neg:
+        if not pos:
             return
-        self.start = math.log(pos / neg)
+        self.start = math.log(pos / max(neg, 0.5))
         margin = [self.start] * len(rows)
         tests = [(f, v) for f, n in enumerate(FEATURES.values()) for v in range(n)]
         for _ in range(ROUNDS):
@@ -185,8 +240,16 @@ def fit(docs: DataFrame, *, id_col: str, text_col: str, precision: float) -> tup
     held_out = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(5)) == 0
 
     def judged(t):
-        base = base_spans(t)
-        return let(F.concat(*base.values()), lambda b: F.transform(candidates(t), lambda c: F.struct(c["cell"].alias("cell"), F.exists(b, lambda s: (s["start"] >= c["start"]) & (s["end"] <= c["end"]) & (s["kind"] == c["kind"])).alias("positive"))))
+        return let(F.struct(*(v.alias(k) for k, v in valid_matches(t, BEFORE, AFTER).items())), lambda m: F.concat(known(t, m), rewritten(m)))
+
+    def known(t, m):
+        covers = lambda b, c: F.exists(b, lambda s: (s["start"] >= c["start"]) & (s["end"] <= c["end"]) & (s["kind"] == c["kind"]))
+        base = F.concat(*(tagged(m[k], i, k) for i, k in enumerate(KINDS)))
+        return let(base, lambda b: F.transform(candidates(t), lambda c: F.struct(c["cell"].alias("cell"), (c["fits"] | covers(b, c)).alias("positive"))))
+
+    def rewritten(m):
+        cells = F.concat(F.flatten(F.transform(m["email"], lambda s: twins(True, s))), F.flatten(F.transform(m["phone"], lambda s: twins(False, s))))
+        return F.transform(cells, lambda c: F.struct(c.alias("cell"), F.lit(True).alias("positive")))
 
     rows = docs.select(held_out.alias("held_out"), F.explode(let(text, judged)).alias("c")).select("held_out", "c.*")
     cells = rows.groupBy("held_out", "cell").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.count("*").alias("n"))
@@ -221,7 +284,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         none = F.array().cast("array<struct<o:int,start:int,end:int,kind:string>>")
         if math.isinf(cut):
             return none
-        fresh = F.filter(candidates(t), lambda c: ~overlaps(b, c) & (trees.column(c["cell"]) >= F.lit(cut - 1e-9)))
+        fresh = F.filter(candidates(t), lambda c: ~overlaps(b, c) & c["fits"] & (trees.column(c["cell"]) >= F.lit(cut - 1e-9)))
         order = lambda c: F.when(c["kind"] == "email", 0).when(c["kind"] == "ip", 1).when(c["kind"] == "card", 2).otherwise(3)
         return F.transform(fresh, lambda c: F.struct(order(c).alias("o"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
 

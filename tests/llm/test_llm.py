@@ -109,6 +109,24 @@ def test_pii_trees():
     assert pii.calibrate([(3.0, 10, 10), (2.0, 1, 10), (1.0, 9, 10)], 0.9) == 3.0
 
 
+@pytest.mark.parametrize("bare", [False, True])
+def test_pii_forms(spark, bare):
+    """Spelled addresses and local phone numbers after a word are added; look-alikes are not."""
+    r = random.Random(8)
+    data = [f"filler ann.{i}@corp{i % 9}.example and tel +1 (0{r.randint(10, 99)}) 555-{r.randint(1000, 9999)} then {r.randint(10**6, 10**11)} of 555 {r.randint(100, 999)} {r.randint(1000, 9999)} us at www.example.org" for i in range(300)]
+    data = [x.split(" then ")[0] for x in data] if bare else data
+    yes = [
+        ("email", "write to ", "jane [at] corp [dot] org", ""), ("email", "so ", "jane@corp [dot] org", " is it"), ("email", "or ", "jane.doe (at) corp.org", ""), ("email", "mail ", "jane at corp dot org", ""),
+        ("phone", "Please call ", "(555) 123-4567", " today"), ("phone", "Tel.: ", "0555 123 4567", ""), ("phone", "phone ", "555-123-4567", ""),
+    ]
+    no = ["see us at www.example.org", "met at 5.30", "order 5551234567", "item 555 123 4567", "the hotel 5551234567", "call 2024-11-26", "999.999.999.999", "polka at red dot dress"]
+    got = {x.doc_id: x for x in pii.find_pii(frame(spark, [*data, *(a + m + b for _, a, m, b in yes), *no])).collect()}
+    for i, (kind, a, m, _) in enumerate(yes, len(data)):
+        assert not got[i].base and [(s.kind, s.start, s.end) for s in got[i].all] == [(kind, len(a), len(a) + len(m))], m
+    assert not [(m, got[i].all) for i, m in enumerate(no, len(data) + len(yes)) if got[i].all]
+    assert all(got[i].all == got[i].base for i in range(len(data)))
+
+
 def test_linked_secrets(spark):
     weak = "ABCD1234EFGH5678 and wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY99 at https://db.example.org/x"
     alone = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY99 only, " + "word " * 100 + "ABCD1234EFGH5678"
