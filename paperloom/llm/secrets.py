@@ -26,10 +26,10 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-#: Weak parts.
-IDENTIFIER = r"(?<![A-Za-z0-9])(?:[A-Z0-9]{16,32}+(?![A-Za-z0-9])|(?i:client_?id|account_?id|user(?:name)?|login)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9._@-]{4,64}+)"
-SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,128}+={0,2}+(?![A-Za-z0-9+/_-])"
-ENDPOINT = r"(?i:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._:@/?&=%-]{4,256}+|(?<![A-Za-z0-9.-])(?i:host|endpoint|server|region)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9.-]{4,128}+"
+#: Weak parts, of any length: a span reaches the end of its run.
+IDENTIFIER = r"(?<![A-Za-z0-9])(?:[A-Z0-9]{16,}+(?![A-Za-z0-9])|(?i:client_?id|account_?id|user(?:name)?|login)[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9._@-]{4,}+)"
+SECRET = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_-])"
+ENDPOINT = r"(?i:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._:@/?&=%-]{4,}+|(?<![A-Za-z0-9.-])(?i:host|endpoint|server|region)[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9.-]{4,}+"
 WINDOW = 200
 FAR = 1 << 30
 

@@ -134,6 +134,20 @@ def test_linked_secrets(spark):
     assert [s.kind for s in got[0]] == ["identifier", "credential", "endpoint"] and got[1] == []
 
 
+@pytest.mark.parametrize("length", [24, 128, 129, 300, 20_000])
+def test_long_parts(spark, length):
+    """Parts of any length are candidates, and spans reach their ends."""
+    secret, upper, name = ("aB3" * length)[:length], ("AB3" * length)[:length], ("u7." * length)[: length - 1] + "x"
+    endpoint = "https://db.example.org/" + ("x1/" * length)[: length - 1] + "y"
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY99"
+    data = [f"{upper} then {secret} end", f"client_id={name} {key} https://h.example", f"login: ann.7 {key} {endpoint} end", f"login: ann.7 {key} host = {name} end"]
+    got = {r.doc_id: [(s.kind, data[r.doc_id][s.start : s.end]) for s in r["all"]] for r in secrets.find_secrets(frame(spark, data)).collect()}
+    assert got[0] == [("identifier", upper), ("credential", secret)]
+    assert got[1] == [("identifier", f"client_id={name}"), ("credential", key), ("endpoint", "https://h.example")]
+    assert got[2] == [("identifier", "login: ann.7"), ("credential", key), ("endpoint", endpoint)]
+    assert got[3] == [("identifier", "login: ann.7"), ("credential", key), ("endpoint", f"host = {name}")]
+
+
 # --- 4 ------------------------------------------------------------------------------------
 
 
