@@ -1,8 +1,8 @@
 """URL filter by the ratio of two character language models, in DataFrame operations only.
 
 Hosts and paths are read from the URL; listed rules decide first (the longest that fits).
-The rest is judged by two smoothed variable-order Markov models over URL characters, one of
-accepted and one of rejected URLs: the chance of a character after its last three comes from
+The rest is judged by two smoothed variable-order Markov models over the characters of the
+whole URL after :// (host, path, query and fragment), one of accepted and one of rejected URLs: the chance of a character after its last three comes from
 counts, smoothed with the chance after the last two, and so on (Dirichlet smoothing with a
 fixed strength, so a context that was never seen falls back to the shorter one by itself).
 The score is the log-likelihood difference (rejected minus accepted) per character.
@@ -37,14 +37,14 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz./-"
 BITS, ORDER, STRENGTH = 5, 4, 4.0
 
 
-def parts(url: Column) -> tuple[Column, Column]:
-    """Host (A-Z lower-cased) and path."""
+def parts(url: Column) -> tuple[Column, Column, Column]:
+    """Host (A-Z lower-cased), path, and all that follows the host: path, query and fragment."""
     url = F.coalesce(url, F.lit(""))
     at = F.instr(url, "://")
     rest = F.when(at > 0, url.substr(at + 3, F.length(url))).otherwise(F.lit(""))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path, rest.substr(F.length(host) + 1, F.length(rest))
 
 
 def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
@@ -118,16 +118,17 @@ def threshold(scored: DataFrame, max_false_rejects: float) -> DataFrame:
 
 def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, seeds=SEEDS, max_false_rejects: float = 0.005) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, score, threshold."""
-    host, path = parts(F.col(url_col))
-    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
+    host, path, tail = parts(F.col(url_col))
+    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), tail.alias("tail"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     seed = F.lit(False)
     for word in seeds:
         seed = seed | F.col("host").contains(word)
     base = base.withColumns({"rule": rule, "says": says, "rejected": seed})
     # Schemes tell nothing of the page; very long URLs are read whole.
-    base = base.withColumn("codes", F.when(F.col("host") == "", F.array().cast("array<int>")).otherwise(codes(F.concat("host", "path"))))
+    base = base.withColumn("codes", F.when(F.col("host") == "", F.array().cast("array<int>")).otherwise(codes(F.concat("host", "tail")))).drop("tail")
     base = materialise(base, "url-codes")  # read three times below
+    # By host and path: URLs that differ in their query alone fall on one side.
     held_out = F.pmod(F.crc32(F.concat("host", "path")), F.lit(5)) == 0
     example = (F.col("host") != "") & (F.col("rejected") | F.col("says").isNull() | (F.col("says") == "allow"))
     weights = model(base.filter(example & ~held_out))

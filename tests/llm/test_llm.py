@@ -64,6 +64,16 @@ def test_urls(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_query(spark):
+    """What follows ? or # is scored; host and path stay as they were."""
+    urls = [f"https://blog{k}.site.example.org/garden/{k}" for k in range(80)] + [f"http://casino-win{k}.example.com/adult/{k}" for k in range(80)]
+    twins = ["https://r.example.org/go", "https://r.example.org/go?to=casino-win", "https://r.example.org/go#casino-win/adult", "https://r.example.org/go?to=garden"]
+    rows = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls + twins)), "page_id long, url string")).collect()
+    plain, query, fragment, clean = (r for r in sorted(rows, key=lambda r: r.page_id) if r.page_id >= len(urls))
+    assert {(r.host, r.path) for r in (plain, query, fragment, clean)} == {("r.example.org", "/go")}
+    assert min(query.score, fragment.score) > max(plain.score, clean.score) and plain.score != clean.score
+
+
 # --- 2, 3 ---------------------------------------------------------------------------------
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
