@@ -3,8 +3,9 @@
 1. Sizes per document and source are counted in words. Targets share the wanted total by
    weight; a source stops at max_repeats times its size and its excess is shared anew among
    the others by weight until none is above.
-2. The total is cut into blocks of equal length. Sources get whole numbers of blocks by
-   highest quotients target / (2k - 1), and each source's blocks go on to its shards (its
+2. Each source is cut into blocks of MAX_BLOCK_WORDS, a tiny one into shorter blocks of its
+   own. Sources with blocks of one length share what they are due together: whole numbers
+   of blocks by highest quotients target / (2k - 1). Each source's blocks go on to its shards (its
    documents by hash of the identifier, about SHARD_WORDS each) by the same rule.
 3. Within a shard, documents in seeded order form one stream of words, cut into blocks.
    Quota q of n blocks: with seeded offset u in [0, 1), block j is taken
@@ -34,7 +35,7 @@ from .common import materialise, word_count
 
 SHARD_WORDS = 1_000_000
 MAX_BLOCK_WORDS = 64
-#: A source of the usual kind gets at least so many blocks of its own size.
+#: A source too small for so many blocks of that length (and no other) is cut into shorter ones.
 BLOCKS_PER_SOURCE = 64
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -84,18 +85,22 @@ def sainte_lague(wanted: list[float], seats: int, most: list[int]) -> list[int]:
     return got
 
 
-def plan_sources(rows: list[tuple[str | None, int]], weights=WEIGHTS, share: float = 1.5, max_repeats: int = 2) -> tuple[list[dict], int]:
-    """Targets and quotas of blocks for (source, words) rows; and the length of a block."""
+def plan_sources(rows: list[tuple[str | None, int]], weights=WEIGHTS, share: float = 1.5, max_repeats: int = 2) -> list[dict]:
+    """Targets, quotas of blocks and the length of a block for (source, words) rows."""
     rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))  # str order is by code point
     sizes = [int(r[1]) for r in rows]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share, max_repeats)
-    block = max(1, min([MAX_BLOCK_WORDS, *(s // BLOCKS_PER_SOURCE for s in sizes if s)]))
-    blocks = [-(-s // block) for s in sizes]
-    quota = sainte_lague(wanted, round(sum(wanted) / block), [max_repeats * b for b in blocks])
+    words = [max(1, min(MAX_BLOCK_WORDS, s // BLOCKS_PER_SOURCE)) for s in sizes]
+    quota = [0] * len(sizes)
+    for block in set(words):
+        group = [i for i, w in enumerate(words) if w == block]
+        seats = sainte_lague([wanted[i] for i in group], round(sum(wanted[i] for i in group) / block), [max_repeats * -(-sizes[i] // block) for i in group])
+        for i, q in zip(group, seats, strict=True):
+            quota[i] = q
     return [
-        {"source": r[0], "source_size": s, "target": t, "quota": q, "shards": max(1, s // SHARD_WORDS)}
-        for r, s, t, q in zip(rows, sizes, wanted, quota, strict=True)
-    ], block
+        {"source": r[0], "source_size": s, "target": t, "quota": q, "shards": max(1, s // SHARD_WORDS), "block_words": b}
+        for r, s, t, q, b in zip(rows, sizes, wanted, quota, words, strict=True)
+    ]
 
 
 PLAN = T.StructType(
@@ -105,6 +110,7 @@ PLAN = T.StructType(
         T.StructField("target", T.DoubleType()),
         T.StructField("quota", T.LongType()),
         T.StructField("shards", T.LongType()),
+        T.StructField("block_words", T.LongType()),
     ]
 )
 
@@ -120,22 +126,22 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("turn"),
     )
     rows = materialise(rows, "mix-sizes")
-    plan, block = plan_sources([(r[0], r[1]) for r in rows.groupBy("source").agg(F.sum("size")).toLocalIterator()], weights, share, max_repeats)
+    plan = plan_sources([(r[0], r[1]) for r in rows.groupBy("source").agg(F.sum("size")).toLocalIterator()], weights, share, max_repeats)
     sources = spark.createDataFrame([tuple(p.values()) for p in plan], PLAN)  # as long as the weights
     same = F.col("source").eqNullSafe(F.col("s_source"))
     rows = rows.join(F.broadcast(sources.withColumnRenamed("source", "s_source")), same).drop("s_source")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "turn"), F.col("shards")))
     # Quotas of shards: a Sainte-Lague round within each source, over shards' sizes.
-    shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("source_quota"), F.first("source_size").alias("source_size"))
-    shards = shard_quotas(shards, block, max_repeats)
+    shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("source_quota"), F.first("source_size").alias("source_size"), F.first("block_words").alias("block_words"))
+    shards = shard_quotas(shards, max_repeats)
     place = Window.partitionBy("source", "shard").orderBy("turn", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("last", F.sum("size").over(place)).withColumn("first", F.col("last") - F.col("size"))
     shards = shards.select(F.col("source").alias("h_source"), F.col("shard").alias("h_shard"), "blocks", F.col("quota").alias("shard_quota"), "offset")
     rows = rows.join(shards, rows.source.eqNullSafe(shards.h_source) & (rows.shard == shards.h_shard))
-    taken = _prefix("last", block) - _prefix("first", block)
+    taken = _prefix("last") - _prefix("first")
     return rows.select(
         F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"),
-        "turn", "first", "blocks", F.col("shard_quota").alias("quota"), "offset", F.lit(block).cast("long").alias("block_words"),
+        "turn", "first", "blocks", F.col("shard_quota").alias("quota"), "offset", "block_words",
     )
 
 
@@ -145,20 +151,20 @@ def _times(block: str) -> str:
     return f"((({block}) * shard_quota * 1000000L + offset * blocks) div (blocks * 1000000L))"
 
 
-def _prefix(at: str, words: int):
+def _prefix(at: str):
     """Words taken of the first `at` words of the shard's stream."""
-    block = f"{at} div {words}"
+    block = f"{at} div block_words"
     whole = _times(block)
-    return F.expr(f"CASE WHEN blocks = 0 THEN 0L ELSE {words}L * {whole} + ({at} % {words}) * ({_times(f'{block} + 1')} - {whole}) END").cast("long")
+    return F.expr(f"CASE WHEN blocks = 0 THEN 0L ELSE block_words * {whole} + ({at} % block_words) * ({_times(f'{block} + 1')} - {whole}) END").cast("long")
 
 
-def shard_quotas(shards: DataFrame, block: int, max_repeats: int) -> DataFrame:
-    """(source, shard, shard_size, source_quota, source_size) with blocks, quota and offset.
+def shard_quotas(shards: DataFrame, max_repeats: int) -> DataFrame:
+    """(source, shard, shard_size, source_quota, source_size, block_words) with blocks, quota and offset.
 
     Each shard starts one seat below its share; what its source has left goes by highest
     quotients over the next three seats of each, which is where the rule must end."""
     ideal = F.when(F.col("source_size") > 0, F.col("source_quota") * F.col("shard_size") / F.col("source_size")).otherwise(0.0)
-    base = shards.withColumn("blocks", F.ceil(F.col("shard_size") / block).cast("long")).withColumn("most", F.col("blocks") * max_repeats)
+    base = shards.withColumn("blocks", F.ceil(F.col("shard_size") / F.col("block_words")).cast("long")).withColumn("most", F.col("blocks") * max_repeats)
     base = base.withColumn("least", F.least(F.greatest(F.floor(ideal) - 1, F.lit(0)), "most").cast("long"))
     of_source = Window.partitionBy("source")
     base = base.withColumn("left", F.col("source_quota") - F.sum("least").over(of_source))

@@ -292,6 +292,26 @@ def test_mixed_documents(spark):
     assert {r[0]: r[1] for r in plan if r[1]} == dict(words)
 
 
+def test_tiny_source(spark):
+    """A tiny source does not change how another's documents are cut."""
+    data = [" ".join(f"d{i}w{k}" for k in range(400)) for i in range(60)]
+    alone, both = frame(spark, data, sources=["a"] * 30 + ["b"] * 30), frame(spark, [*data, "tiny source of few words", "null one"], sources=["a"] * 30 + ["b"] * 30 + ["t", None])
+    plan = {r.doc_id: r for r in mixing.mix(both).collect()}
+    assert {plan[i].block_words for i in range(60)} == {64} and plan[60].block_words == plan[61].block_words == 1
+    assert {r.doc_id: r.block_words for r in mixing.mix(alone).collect()} == {i: 64 for i in range(60)}
+    checked = 0
+    for r in mixing.mix_documents(both).collect():
+        if r.doc_id < 60:
+            at = [int(w.split("w")[1]) for w in r.text.split()]
+            edges = [0, *(k for k in range(1, len(at)) if at[k] != at[k - 1] + 1), len(at)]
+            first = plan[r.doc_id].first
+            for a, b in zip(edges, edges[1:]):
+                assert (first + at[a]) % 64 == 0 or at[a] == 0
+                assert (first + at[b - 1] + 1) % 64 == 0 or at[b - 1] == 399
+                checked += b - a >= 64
+    assert checked >= 60
+
+
 # --- 8 ------------------------------------------------------------------------------------
 
 
