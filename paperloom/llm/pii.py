@@ -1,20 +1,25 @@
 """Personal data: high-recall candidates, judged by boosted trees, in DataFrame operations only.
 
 Base spans (e-mail, IP address, payment card, phone) come from fixed patterns and checks.
-Generators propose further spans, which may overlap: spelled-out or spaced e-mail addresses
-and digit groups of any layout. Each candidate gets format and context features, all of them
+Generators propose further spans of any length, which may overlap each other: spelled-out or
+spaced e-mail addresses, digit groups of any layout, cards in four groups, host addresses
+with guarded dots. Each candidate gets format and context features, all of them
 small classes, so all candidates of all documents come down to a table of feature cells with
 counts (CELLS at most). Boosted trees are fitted to that table. A candidate counts as positive
 if it covers a valid base span of its kind, or in a form that base patterns do not read: an
 address with separators that only addresses have (or words for all of them, after a word like
 "mail") that is valid once they are written plainly; a number whose digits make a valid card;
-a phone's count of digits after a word like "call". Each base address and phone is also
-counted in such forms (spelled out; without its country code, after such a word), so the trees
+a phone's count of digits after a word like "call"; a host address that is valid with plain
+dots. Each base address, host and phone is also counted in such forms (spelled out; with
+guarded dots; without its country code, after such a word), so the trees
 know them where texts hold few. Features leave out the checks that made base spans valid. A
 fifth of the documents is held out to set the threshold: the least margin at which, by isotonic
 regression, at least `precision` of held-out candidates are positive. Trees are applied as CASE
 expressions to candidates that overlap no base span and are valid in one of those forms.
 
+Each text is read once: spans and cells of all documents are written to a table (places and
+small numbers, no text) from which the trees are fitted and to which they are applied.
+
 Null text counts as empty and gives no spans. Rows that repeat are judged each; other columns
 are left aside. Without any positive candidate nothing is added.
 """
@@ -22,23 +27,27 @@ are left aside. Without any positive candidate nothing is added.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sha256_hex, text_or_empty
-from .spans import find, joined, let, overlaps, tagged
+from .common import materialise, sha256_hex, text_or_empty
+from .spans import find, holds, joined, none_of, related, tagged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive and anchored twins of the contract's patterns: the same matches, no recursion,
 #: and no second scan of a run from its middle.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+"
+IP = r"(?=[0-9])(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+CARD = r"(?=[0-9])(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Candidates: kind, pattern.
-MAIL_LIKE = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@|\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?|\x20(?:at|AT)\x20)[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[\[(]\x20?(?:dot|DOT)\x20?[\])]\x20?|\x20(?:dot|DOT)\x20)[A-Za-z0-9-]{1,63}+){1,6}+"
-NUMBER_LIKE = r"(?<![0-9A-Za-z+(.])[+(]?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}+(?![0-9])"
+#: Candidates, of any length. Addresses with spelled separators, numbers in any layout, cards
+#: in four equal groups (these overlap the numbers), addresses of hosts with guarded dots.
+MAIL_LIKE = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?|\x20(?:at|AT)\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]\x20?(?:dot|DOT)\x20?[\])]\x20?|\x20(?:dot|DOT)\x20)[A-Za-z0-9-]++)++"
+NUMBER_LIKE = r"(?=[+(0-9])(?<![0-9A-Za-z+(.])[+(]?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+(?![0-9])"
+CARD_LIKE = r"(?=[0-9])(?<![0-9])[0-9]{4}([./_*:\x20-]{1,3})[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"
+HOST_LIKE = r"(?=[0-9])(?<![0-9.])[0-9]{1,3}(?:(?:\.|\x20?[\[(]\x20?(?:\.|dot|DOT)\x20?[\])]\x20?|\x20(?:dot|DOT)\x20)[0-9]{1,3}){3}(?![0-9.])"
 BEFORE, AFTER = 24, 4
 #: Separators of spelled addresses, in brackets or as words.
 AT, DOT = r"(?:\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?|\x20(?:at|AT)\x20)", r"(?:\x20?[\[(]\x20?(?:dot|DOT)\x20?[\])]\x20?|\x20(?:dot|DOT)\x20)"
@@ -69,17 +78,17 @@ def card_fits(m: Column) -> Column:
     return F.length(digits(m)).between(13, 19) & luhn(digits(m))
 
 
-def valid_matches(text: Column, before: int = 0, after: int = 0) -> dict[str, Column]:
-    return {
-        "email": find(text, EMAIL, before, after),
-        "ip": F.filter(find(text, IP), lambda s: ip_parts_fit(s["m"])),
-        "card": F.filter(find(text, CARD), lambda s: card_fits(s["m"])),
-        "phone": F.filter(find(text, PHONE, before, after), lambda s: F.length(digits(s["m"])).between(9, 15)),
-    }
+def has_digit(text: str) -> Column:
+    return F.col(text).rlike("[0-9]")
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    return {k: tagged(v, i, k) for i, (k, v) in enumerate(valid_matches(text).items())}
+def valid_matches(text: str, before: int = 0, after: int = 0) -> dict[str, Column]:
+    return {
+        "email": find(text, EMAIL, before, after, guard=holds(text, "@")),
+        "ip": F.filter(find(text, IP, before, after, guard=has_digit(text)), lambda s: ip_parts_fit(s["m"])),
+        "card": F.filter(find(text, CARD, guard=has_digit(text)), lambda s: card_fits(s["m"])),
+        "phone": F.filter(find(text, PHONE, before, after, guard=holds(text, "+")), lambda s: F.length(digits(s["m"])).between(9, 15)),
+    }
 
 
 def spelling(m: Column) -> Column:
@@ -91,8 +100,8 @@ def plain_address(m: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(m, AT, "@"), DOT, ".")
 
 
-def features(mail: bool, s: Column) -> list[Column]:
-    m, pre = s["m"], F.lower(s["pre"])
+def features(s: Column) -> list[Column]:
+    m, pre, mail = s["m"], F.lower(s["pre"]), s["kind"] == "email"
     n = F.length(digits(m))
     groups = F.size(F.split(F.trim(F.regexp_replace(m, "[^0-9]+", " ")), " "))
     word = (
@@ -103,64 +112,88 @@ def features(mail: bool, s: Column) -> list[Column]:
         .otherwise(0)
     )
     dots = F.when(~m.contains("."), 0).when(m.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), 1).otherwise(2)
+    number = lambda value: F.when(mail, 0).otherwise(value)
     return [
-        F.lit(int(mail)),
-        F.lit(0) if mail else F.when(n < 7, 0).when(n < 9, 1).when(n < 10, 2).when(n < 12, 3).when(n < 13, 4).when(n < 16, 5).when(n < 17, 6).otherwise(7),
-        F.lit(0) if mail else F.least(groups, F.lit(4)) - 1,
-        F.lit(0) if mail else F.when(m.startswith("+"), 1).when(m.startswith("("), 2).otherwise(0),
-        F.lit(0) if mail else m.contains("(").cast("int"),
-        F.lit(0) if mail else dots,
-        spelling(m) if mail else F.lit(0),
+        mail.cast("int"),
+        number(F.when(n < 7, 0).when(n < 9, 1).when(n < 10, 2).when(n < 12, 3).when(n < 13, 4).when(n < 16, 5).when(n < 17, 6).otherwise(7)),
+        number(F.least(groups, F.lit(4)) - 1),
+        number(F.when(m.startswith("+"), 1).when(m.startswith("("), 2).otherwise(0)),
+        number(m.contains("(").cast("int")),
+        number(dots),
+        F.when(mail, spelling(m)).otherwise(m.rlike(r"[\[(]\x20?(?:\.|dot|DOT)|\x20(?:dot|DOT)\x20").cast("int")),
         word,
         (s["pre"].rlike("[A-Za-z]$") | s["post"].rlike("^[A-Za-z@]")).cast("int"),
     ]
 
 
-def cell(mail: bool, s: Column) -> Column:
-    """The features as one number below CELLS."""
+def cell(s: Column) -> Column:
+    """The features of a span (SHAPE) as one number below CELLS."""
     code = F.lit(0)
-    for value, n in zip(features(mail, s), FEATURES.values(), strict=True):
+    for value, n in zip(features(s), FEATURES.values(), strict=True):
         code = code * n + F.greatest(F.lit(0), F.least(value.cast("int"), F.lit(n - 1)))
     return code
 
 
-def fits(mail: bool, s: Column, kind: Column) -> Column:
+def plain_host(m: Column) -> Column:
+    return F.regexp_replace(m, r"\x20?[\[(]\x20?(?:\.|dot|DOT)\x20?[\])]\x20?|\x20(?:dot|DOT)\x20", ".")
+
+
+def fits(s: Column) -> Column:
     """Whether a candidate is valid in a form that base patterns do not read."""
-    m, pre = s["m"], F.lower(s["pre"])
-    if mail:
-        named = plain_address(m).rlike(f"^{EMAIL}$") & m.rlike("[A-Za-z]{2}$")
-        return named & ((spelling(m) == 1) | ((spelling(m) == 2) & pre.rlike(MAIL_WORD)))
+    m, pre, kind = s["m"], F.lower(s["pre"]), s["kind"]
+    named = plain_address(m).rlike(f"^{EMAIL}$") & m.rlike("[A-Za-z]{2}$")
+    address = named & ((spelling(m) == 1) | ((spelling(m) == 2) & pre.rlike(MAIL_WORD)))
     touches = s["pre"].rlike("[A-Za-z]$") | s["post"].rlike("^[A-Za-z@]")
     called = F.length(digits(m)).between(7, 12) & pre.rlike(CALL_WORD) & ~touches
-    return F.when(kind == "card", card_fits(m)).when(kind == "phone", called).otherwise(False)
+    host = m.rlike("[^0-9.]") & plain_host(m).rlike(f"^{IP}$") & ip_parts_fit(plain_host(m)) & ~touches
+    return F.when(kind == "email", address).when(kind == "card", card_fits(m)).when(kind == "phone", called).when(kind == "ip", host).otherwise(False)
+
+
+SHAPE = "struct<start:int,end:int,m:string,pre:string,post:string,kind:string>"
+CANDIDATE = "struct<start:int,end:int,cell:int,kind:string,fits:boolean>"
+
+
+def shaped(m: Column, pre: Column, post: Column, kind: str, start=None, end=None) -> Column:
+    return F.struct((start if start is not None else F.lit(0)).alias("start"), (end if end is not None else F.lit(0)).alias("end"), m.alias("m"), pre.alias("pre"), post.alias("post"), F.lit(kind).alias("kind"))
 
 
-def twins(mail: bool, s: Column) -> Column:
-    """Cells of a base address or phone written in forms that base patterns do not read."""
+def twins(kind: str, s: Column) -> Column:
+    """A base span written in forms that base patterns do not read: array<SHAPE>, without places."""
     m = s["m"]
-    twin = lambda text, pre=None: F.struct(text.alias("m"), (s["pre"] if pre is None else F.lit(pre)).alias("pre"), s["post"].alias("post"))
-    if mail:
+    if kind == "email":
         name, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
         spelled = F.replace(domain, F.lit("."), F.lit(" dot "))
-        made = [twin(F.concat(name, F.lit(" [at] "), domain)), twin(F.concat(name, F.lit("@"), spelled)), twin(F.concat(name, F.lit(" [at] "), spelled)), twin(F.concat(name, F.lit(" at "), spelled), "mail ")]
-        return F.transform(F.array(*made), lambda x: cell(True, x))
-    local = F.regexp_replace(m, r"^\+(?:[0-9]{1,3}(?:[\x20.-]+|(?=\()))?+", "")
-    made = F.array(local, F.concat(F.lit("0"), local), F.regexp_replace(local, r"^([0-9]{2,4})[\x20.-]+", r"($1) "))
-    made = F.filter(made, lambda x: F.length(digits(x)).between(7, 12) & x.rlike(f"^{NUMBER_LIKE}$"))
-    return F.transform(F.transform(made, lambda x: twin(x, "call ")), lambda x: cell(False, x))
+        made = [(F.concat(name, F.lit(" [at] "), domain), s["pre"]), (F.concat(name, F.lit("@"), spelled), s["pre"]), (F.concat(name, F.lit(" [at] "), spelled), s["pre"]), (F.concat(name, F.lit(" at "), spelled), F.lit("mail "))]
+    elif kind == "ip":
+        made = [(F.replace(m, F.lit("."), F.lit(dot)), s["pre"]) for dot in ("[.]", "(.)", " dot ", " [dot] ")] + [(F.regexp_replace(m, r"\.([0-9]+)$", "[.]$1"), s["pre"])]
+    else:
+        local = F.regexp_replace(m, r"^\+(?:[0-9]{1,3}(?:[\x20.-]+|(?=\()))?+", "")
+        made = [(x, F.lit("call ")) for x in (local, F.concat(F.lit("0"), local), F.regexp_replace(local, r"^([0-9]{2,4})[\x20.-]+", r"($1) "))]
+    out = F.array(*(shaped(x, pre, s["post"], kind) for x, pre in made)).cast(f"array<{SHAPE}>")
+    return F.filter(out, lambda x: F.length(digits(x["m"])).between(7, 12) & x["m"].rlike(f"^{NUMBER_LIKE}$")) if kind == "phone" else out
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<start, end, cell, kind, fits>>"""
-    def of(mail: bool, pattern: str) -> Column:
-        def one(s):
-            number = F.when(F.length(digits(s["m"])) >= 13, "card").when(s["m"].rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), "ip").otherwise("phone")
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), cell(mail, s).alias("cell"), (F.lit("email") if mail else number).alias("kind"), fits(mail, s, number).alias("fits"))
+def candidates(text: str) -> Column:
+    """array<SHAPE>, which may overlap."""
 
-        found = find(text, pattern, BEFORE, AFTER)
-        return F.transform(found if mail else F.filter(found, lambda s: ~s["m"].rlike(DATE)), one)
+    def of(found: Column, kind: str) -> Column:
+        return F.transform(found, lambda s: shaped(s["m"], s["pre"], s["post"], kind, s["start"], s["end"])).cast(f"array<{SHAPE}>")
 
-    return F.concat(of(True, MAIL_LIKE), of(False, NUMBER_LIKE))
+    spelled = holds(text, "@", " at ", " AT ", "at)", "AT)", "at]", "AT]", "at ]", "AT ]", "at )", "AT )")
+    numbers = F.filter(find(text, NUMBER_LIKE, BEFORE, AFTER, guard=has_digit(text)), lambda s: ~s["m"].rlike(DATE))
+    numbers = F.transform(of(numbers, "phone"), lambda s: s.withField("kind", F.when(s["m"].rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), "ip").when(F.length(digits(s["m"])) >= 13, "card").otherwise("phone")))
+    guarded = has_digit(text) & holds(text, "[.]", "(.)", "[ .", "( .", "dot", "DOT")
+    return F.array_distinct(F.concat(
+        of(find(text, MAIL_LIKE, BEFORE, AFTER, guard=spelled), "email"),
+        numbers,
+        of(find(text, CARD_LIKE, BEFORE, AFTER, guard=has_digit(text)), "card"),
+        of(F.filter(find(text, HOST_LIKE, BEFORE, AFTER, guard=guarded), lambda s: s["m"].rlike("[^0-9.]")), "ip"),
+    ))
+
+
+def judged(shapes: str) -> Column:
+    """array<CANDIDATE> of array<SHAPE>"""
+    return F.transform(shapes, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), cell(s).alias("cell"), s["kind"].alias("kind"), fits(s).alias("fits"))).cast(f"array<{CANDIDATE}>")
 
 
 def split_cell(code: int) -> tuple[int, ...]:
@@ -234,24 +267,36 @@ class Trees:
         return total
 
 
-def fit(docs: DataFrame, *, id_col: str, text_col: str, precision: float) -> tuple[Trees, float]:
-    """Trees, and the margin from which on candidates are taken."""
-    text = text_or_empty(text_col)
-    held_out = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(5)) == 0
+FOUND = "struct<start:int,end:int,cell:int,kind:string,fits:boolean,overlaps:boolean,covers:boolean>"
 
-    def judged(t):
-        return let(F.struct(*(v.alias(k) for k, v in valid_matches(t, BEFORE, AFTER).items())), lambda m: F.concat(known(t, m), rewritten(m)))
 
-    def known(t, m):
-        covers = lambda b, c: F.exists(b, lambda s: (s["start"] >= c["start"]) & (s["end"] <= c["end"]) & (s["kind"] == c["kind"]))
-        base = F.concat(*(tagged(m[k], i, k) for i, k in enumerate(KINDS)))
-        return let(base, lambda b: F.transform(candidates(t), lambda c: F.struct(c["cell"].alias("cell"), (c["fits"] | covers(b, c)).alias("positive"))))
+def propose(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """(id, base, found, twins), each text read once: base spans, candidates with their cells and
+    how they lie to base spans, and cells of base spans rewritten in other forms."""
+
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
+    rows = rows.withColumns(valid_matches("body", BEFORE, AFTER))
+    rows = rows.select(
+        "id",
+        F.concat(*(tagged(k, i, k) for i, k in enumerate(KINDS))).alias("base"),
+        candidates("body").alias("seen"),
+        F.concat(*(F.flatten(F.transform(k, partial(twins, k))) for k in ("email", "ip", "phone"))).alias("made"),
+    )
+    # Both kinds of shapes are judged by one expression, then parted again.
+    rows = rows.select("id", "base", F.size("seen").alias("n"), F.concat("seen", "made").alias("both")).withColumn("both", judged("both"))
+    rows = rows.select("id", "base", F.slice("both", F.lit(1), F.col("n")).alias("seen"), F.expr("transform(slice(both, n + 1, size(both)), c -> c.cell)").alias("twins"))
+    found = F.expr("transform(arrays_zip(seen, how), x -> named_struct('start', x.seen.start, 'end', x.seen.end, 'cell', x.seen.cell, 'kind', x.seen.kind, 'fits', x.seen.fits, 'overlaps', x.how.overlaps, 'covers', x.how.covers))")
+    return rows.withColumn("how", related("seen", "base")).select("id", "base", "twins", found.cast(f"array<{FOUND}>").alias("found"))
 
-    def rewritten(m):
-        cells = F.concat(F.flatten(F.transform(m["email"], lambda s: twins(True, s))), F.flatten(F.transform(m["phone"], lambda s: twins(False, s))))
-        return F.transform(cells, lambda c: F.struct(c.alias("cell"), F.lit(True).alias("positive")))
 
-    rows = docs.select(held_out.alias("held_out"), F.explode(let(text, judged)).alias("c")).select("held_out", "c.*")
+def fit(proposed: DataFrame, *, precision: float) -> tuple[Trees, float]:
+    """Trees, and the margin from which on candidates are taken."""
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(5)) == 0
+    seen = F.concat(
+        F.transform("found", lambda c: F.struct(c["cell"].alias("cell"), (c["fits"] | c["covers"]).alias("positive"))),
+        F.transform("twins", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("positive"))),
+    )
+    rows = proposed.filter((F.size("found") > 0) | (F.size("twins") > 0)).select(held_out.alias("held_out"), F.explode(seen).alias("c")).select("held_out", "c.*")
     cells = rows.groupBy("held_out", "cell").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.count("*").alias("n"))
     seen = cells.collect()  # 2 * CELLS rows at most
     trees = Trees([(r.cell, r.p, r.n - r.p) for r in seen if not r.held_out])
@@ -273,25 +318,18 @@ def calibrate(steps: list[tuple[float, int, int]], precision: float) -> float:
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.9) -> DataFrame:
     """One row per document: id, base (array of struct<o,start,end,kind>) and all (with what the trees add)."""
-    trees, cut = fit(docs, id_col=id_col, text_col=text_col, precision=precision)
-    kept = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
-
-    def spans(t):
-        base = F.concat(*base_spans(t).values())
-        return let(base, lambda b: F.struct(b.alias("base"), extra(t, b).alias("extra")))
-
-    def extra(t, b):
-        none = F.array().cast("array<struct<o:int,start:int,end:int,kind:string>>")
-        if math.isinf(cut):
-            return none
-        fresh = F.filter(candidates(t), lambda c: ~overlaps(b, c) & c["fits"] & (trees.column(c["cell"]) >= F.lit(cut - 1e-9)))
-        order = lambda c: F.when(c["kind"] == "email", 0).when(c["kind"] == "ip", 1).when(c["kind"] == "card", 2).otherwise(3)
-        return F.transform(fresh, lambda c: F.struct(order(c).alias("o"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
-
-    out = kept.select("id", let(F.col("body"), spans).alias("s"))
-    return out.select(F.col("id").alias(id_col), F.col("s.base").alias("base"), F.array_sort(F.concat("s.base", "s.extra")).alias("all"))
+    proposed = materialise(propose(docs, id_col=id_col, text_col=text_col), "pii-proposed")
+    trees, cut = fit(proposed, precision=precision)
+    order = lambda c: F.when(c["kind"] == "email", 0).when(c["kind"] == "ip", 1).when(c["kind"] == "card", 2).otherwise(3)
+    fresh = F.filter("found", lambda c: ~c["overlaps"] & c["fits"] & (trees.column(c["cell"]) >= F.lit(cut - 1e-9)))
+    extra = F.transform(fresh, lambda c: F.struct(order(c).alias("o"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
+    if math.isinf(cut):
+        extra = none_of("struct<o:int,start:int,end:int,kind:string>")
+    return proposed.select(F.col("id").alias(id_col), "base", F.array_sort(F.array_distinct(F.concat("base", extra))).alias("all"))
 
 
 def digest_columns(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The digest of base spans and the places of all; n_added counts what the trees add."""
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(id_col, *map(count, KINDS), sha256_hex(joined(F.col("base"))).alias("base_sha256"), joined(F.col("all")).alias("spans"))
+    n_all = F.size("all").cast("long")
+    return found.select(id_col, *map(count, KINDS), sha256_hex(joined("base")).alias("base_sha256"), joined("all").alias("spans"), n_all.alias("n_spans"), (n_all - F.size("base")).alias("n_added"))
