@@ -2,37 +2,95 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables of up to so many bytes are broadcast, others joined by shuffle.
+BROADCAST_BYTES = 16 << 20
+#: Folders written by new_folder, oldest first, for scratch().
+_written: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new
-    temporary one where the session names none (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where the session names
+    none, a temporary folder serves in local mode (removed at the end); on a cluster it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="paperloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/paperloom/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/paperloom/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage ends there,
+def remove(spark: SparkSession, *folders: str) -> None:
+    """Delete folders of new_folder, in whatever store they are."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if folder in _written:
+            _written.remove(folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, at its end, what was written within it, but for folders added to the list given."""
+    before, keep = set(_written), []
+    yield keep
+    remove(spark, *(f for f in list(_written) if f not in before and f not in keep))
+
+
+def write_table(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    """df as Parquet in the shared folder: where it is, and read back. The lineage ends there,
     and a lost executor costs no recomputation of what lies before."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    return write_table(df, name)[1]
+
+
+def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """df marked for broadcast if its rows, of about row_bytes each, are few enough."""
+    return F.broadcast(df) if rows * (row_bytes + 16) <= BROADCAST_BYTES else df
+
+
+def trimmed(run: Callable) -> Callable:
+    """An Arrow function that gives its worker's free memory back when its task ends: workers
+    live on, and what they hold counts against their executor."""
+
+    def of(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # no such function in this C library
+                pass
+
+    return of
 
 
 def text_or_empty(name: str = "text") -> Column:

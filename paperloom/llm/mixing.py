@@ -1,23 +1,29 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 1. Sizes per document and source are counted in words. Targets share the wanted total by
-   weight; a source stops at max_repeats times its size and its excess is shared anew among
-   the others by weight until none is above.
+   weight (the list of weights repeats over the sources in order); a source stops at
+   max_repeats times its size and its excess is shared anew among the others by weight until
+   none is above.
 2. Each source is cut into blocks of MAX_BLOCK_WORDS, a tiny one into shorter blocks of its
    own. Sources with blocks of one length share what they are due together: whole numbers
-   of blocks by highest quotients target / (2k - 1). Each source's blocks go on to its shards (its
-   documents by hash of the identifier, about SHARD_WORDS each) by the same rule.
+   of blocks by highest quotients target / (2k - 1). Each source's blocks go on, by the same
+   rule, to groups of FAN shards and from those to shards (its documents by hash of the
+   identifier, about SHARD_WORDS each), so that no task holds all shards of a large source.
 3. Within a shard, documents in seeded order form one stream of words, cut into blocks.
    Quota q of n blocks: with seeded offset u in [0, 1), block j is taken
    floor((j + 1) q / n + u) - floor(j q / n + u) times, which sums to q and never exceeds
    ceil(q / n). What a document contributes follows from prefix sums of its two ends.
 
 Only (id, source, size) is shuffled, by (source, shard): a source with a third of all rows
-is spread over its shards. The table of sources (as long as the list of weights) is the
-only thing that reaches the driver. Null and empty texts have size 0 and are taken 0 times;
+is spread over its shards. The table of sources (name, words) is the only thing that reaches
+the driver: a row for each source, however many documents it has. More than MAX_SOURCES of
+them are an error, raised before any is fetched; the plan is joined by broadcast up to a
+checked size and by shuffle beyond. Texts may be of any length: products are divided before
+they are scaled. Null and empty texts have size 0 and are taken 0 times;
 a null source is a source of its own, last in order. Reruns agree: order and offsets come
 from hashes of identifiers and the seed; rows that repeat an identifier are told apart by
 size and text hash, and rows that are wholly equal share what their places take in any order.
+An empty table gives an empty plan.
 """
 
 from __future__ import annotations
@@ -26,14 +32,17 @@ import heapq
 import math
 import re
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, word_count
+from .common import materialise, sized, word_count
 
 SHARD_WORDS = 1_000_000
+#: Shards of a source that share a quota before it is dealt out to each.
+FAN = 1024
+MAX_SOURCES = 1_000_000
 MAX_BLOCK_WORDS = 64
 #: A source too small for so many blocks of that length (and no other) is cut into shorter ones.
 BLOCKS_PER_SOURCE = 64
@@ -126,13 +135,17 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("turn"),
     )
     rows = materialise(rows, "mix-sizes")
-    plan = plan_sources([(r[0], r[1]) for r in rows.groupBy("source").agg(F.sum("size")).toLocalIterator()], weights, share, max_repeats)
-    sources = spark.createDataFrame([tuple(p.values()) for p in plan], PLAN)  # as long as the weights
-    same = F.col("source").eqNullSafe(F.col("s_source"))
-    rows = rows.join(F.broadcast(sources.withColumnRenamed("source", "s_source")), same).drop("s_source")
+    sums = materialise(rows.groupBy("source").agg(F.sum("size").alias("words")), "mix-sources")
+    n_sources = sums.count()
+    if n_sources > MAX_SOURCES:
+        raise ValueError(f"{n_sources} sources, {MAX_SOURCES} at most")
+    plan = plan_sources([(r[0], r[1]) for r in sums.toLocalIterator()], weights, share, max_repeats)
+    sources = spark.createDataFrame([tuple(p.values()) for p in plan], PLAN).withColumnRenamed("source", "s_source")
+    longest = max((len((p["source"] or "").encode()) for p in plan), default=0)
+    rows = rows.join(sized(sources, n_sources, longest + 40), F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "turn"), F.col("shards")))
-    # Quotas of shards: a Sainte-Lague round within each source, over shards' sizes.
-    shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("source_quota"), F.first("source_size").alias("source_size"), F.first("block_words").alias("block_words"))
+    # Quotas: a Sainte-Lague round within each source over groups of shards, then within each group.
+    shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("words"), *(F.first(c).alias(c) for c in ("quota", "source_size", "block_words")))
     shards = shard_quotas(shards, max_repeats)
     place = Window.partitionBy("source", "shard").orderBy("turn", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("last", F.sum("size").over(place)).withColumn("first", F.col("last") - F.col("size"))
@@ -146,37 +159,48 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def _times(block: str) -> str:
-    """How often the blocks before this one are taken in all. Whole-number arithmetic:
-    offset is in millionths."""
-    return f"((({block}) * shard_quota * 1000000L + offset * blocks) div (blocks * 1000000L))"
+    """How often the blocks before this one are taken in all: block * quota / blocks plus the
+    offset (in millionths), in whole numbers; only the remainder is scaled."""
+    made = f"(({block}) * shard_quota)"
+    return f"({made} div blocks + ({made} % blocks * 1000000L + offset * blocks) div (blocks * 1000000L))"
 
 
-def _prefix(at: str):
+def _prefix(at: str) -> Column:
     """Words taken of the first `at` words of the shard's stream."""
     block = f"{at} div block_words"
     whole = _times(block)
     return F.expr(f"CASE WHEN blocks = 0 THEN 0L ELSE block_words * {whole} + ({at} % block_words) * ({_times(f'{block} + 1')} - {whole}) END").cast("long")
 
 
+def apportion(parts: DataFrame, parents: list[str], part: str) -> DataFrame:
+    """(parents, part, words, most, quota, whole) with quota of the parent, of whole words, dealt
+    to its parts: own_quota.
+
+    Each part starts one seat below its share; what its parent has left goes by highest
+    quotients over the next four seats of each, which is where the rule must end."""
+    ideal = F.when(F.col("whole") > 0, F.col("quota") * (F.col("words") / F.col("whole"))).otherwise(0.0)
+    base = parts.withColumn("least", F.least(F.greatest(F.floor(ideal) - 1, F.lit(0)), "most").cast("long"))
+    base = base.withColumn("left", F.col("quota") - F.sum("least").over(Window.partitionBy(*parents)))
+    seats = base.select(*parents, part, "left", "words", F.explode(F.expr("filter(sequence(least + 1, least + 4), k -> k <= most)")).alias("seat"))
+    turn = Window.partitionBy(*parents).orderBy(F.desc(F.col("words") / (2 * F.col("seat") - 1)), part, "seat")
+    won = seats.withColumn("rank", F.row_number().over(turn)).filter("rank <= left").groupBy(*parents, part).agg(F.count("*").alias("won"))
+    won = won.select(*(F.col(c).alias(f"w_{c}") for c in (*parents, part)), "won")
+    same = base[part] == F.col(f"w_{part}")
+    for c in parents:
+        same = same & base[c].eqNullSafe(F.col(f"w_{c}"))
+    out = base.join(won, same, "left").withColumn("own_quota", F.col("least") + F.coalesce("won", F.lit(0)))
+    return out.drop("least", "left", "won", *(f"w_{c}" for c in (*parents, part)))
+
+
 def shard_quotas(shards: DataFrame, max_repeats: int) -> DataFrame:
-    """(source, shard, shard_size, source_quota, source_size, block_words) with blocks, quota and offset.
-
-    Each shard starts one seat below its share; what its source has left goes by highest
-    quotients over the next three seats of each, which is where the rule must end."""
-    ideal = F.when(F.col("source_size") > 0, F.col("source_quota") * F.col("shard_size") / F.col("source_size")).otherwise(0.0)
-    base = shards.withColumn("blocks", F.ceil(F.col("shard_size") / F.col("block_words")).cast("long")).withColumn("most", F.col("blocks") * max_repeats)
-    base = base.withColumn("least", F.least(F.greatest(F.floor(ideal) - 1, F.lit(0)), "most").cast("long"))
-    of_source = Window.partitionBy("source")
-    base = base.withColumn("left", F.col("source_quota") - F.sum("least").over(of_source))
-    seats = base.select("source", "shard", "left", "shard_size", F.explode(F.expr("filter(sequence(least + 1, least + 4), k -> k <= most)")).alias("seat"))
-    turn = Window.partitionBy("source").orderBy(F.desc(F.col("shard_size") / (2 * F.col("seat") - 1)), "shard", "seat")
-    won = seats.withColumn("rank", F.row_number().over(turn)).filter("rank <= left").groupBy("source", "shard").agg(F.count("*").alias("won"))
-    won = won.select(F.col("source").alias("w_source"), F.col("shard").alias("w_shard"), "won")
-    out = base.join(won, base.source.eqNullSafe(won.w_source) & (base.shard == won.w_shard), "left")
-    return out.select(
-        "source", "shard", "blocks", (F.col("least") + F.coalesce("won", F.lit(0))).alias("quota"),
-        F.pmod(F.xxhash64(F.lit(7), "source", "shard"), F.lit(1_000_000)).alias("offset"),
-    )
+    """(source, shard, words, quota, source_size, block_words) to source, shard, blocks, quota and offset."""
+    shards = shards.withColumn("blocks", F.ceil(F.col("words") / F.col("block_words")).cast("long")).withColumn("most", F.col("blocks") * max_repeats)
+    shards = materialise(shards.withColumn("fan", F.expr(f"shard div {FAN}")), "mix-shards")
+    groups = shards.groupBy("source", "fan").agg(F.sum("words").alias("words"), F.sum("most").alias("most"), F.first("quota").alias("quota"), F.first("source_size").alias("whole"))
+    groups = apportion(groups, ["source"], "fan").select(F.col("source").alias("g_source"), F.col("fan").alias("g_fan"), F.col("own_quota").alias("g_quota"), F.col("words").alias("g_words"))
+    inner = shards.drop("quota").join(groups, shards.source.eqNullSafe(groups.g_source) & (shards.fan == groups.g_fan))
+    inner = inner.select("source", "fan", "shard", "blocks", "words", "most", F.col("g_quota").alias("quota"), F.col("g_words").alias("whole"))
+    return apportion(inner, ["source", "fan"], "shard").select("source", "shard", "blocks", F.col("own_quota").alias("quota"), F.pmod(F.xxhash64(F.lit(7), "source", "shard"), F.lit(1_000_000)).alias("offset"))
 
 
 def copies_of(text: str | None, first: int, blocks: int, quota: int, offset: int, block_words: int) -> list[str]:
@@ -184,7 +208,7 @@ def copies_of(text: str | None, first: int, blocks: int, quota: int, offset: int
     blocks taken twice and so on, each as one text with its own white space."""
     if not text or not blocks:
         return []
-    times = lambda j: (j * quota * 1_000_000 + offset * blocks) // (blocks * 1_000_000)
+    times = lambda j: j * quota // blocks + (j * quota % blocks * 1_000_000 + offset * blocks) // (blocks * 1_000_000)
     spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
     if not spans:
         return []
@@ -214,15 +238,22 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         held = held.dropDuplicates(["_id", "_turn"])
     joined = held.join(plan.withColumnRenamed("_id", "_p").withColumnRenamed("_turn", "_t"), F.col("_id").eqNullSafe(F.col("_p")) & (F.col("_turn") == F.col("_t")))
 
-    @F.pandas_udf("array<string>")
-    def taken(text: pd.Series, first: pd.Series, blocks: pd.Series, quota: pd.Series, offset: pd.Series, words: pd.Series) -> pd.Series:
-        return pd.Series([copies_of(*map(_plain, row)) for row in zip(text, first, blocks, quota, offset, words, strict=True)])
+    columns = docs.columns
+    # Only what copies_of() reads goes to Python; it gives the texts back, some rows at a time.
+    texts = joined.select("doc", F.struct(F.col(f"doc.`{text_col}`").alias("text"), "first", "blocks", "quota", "offset", "block_words").alias("cut"))
+    out = texts.select("doc", F.explode(taken_texts()("cut")).alias("_taken"))
+    value = {text_col: F.col("_taken")} | ({chars_col: F.length("_taken").cast(dict(docs.dtypes)[chars_col])} if chars_col in columns else {})
+    return out.select(*(value.get(c, F.col(f"doc.`{c}`")).alias(c) for c in columns))
+
 
-    texts = taken(F.col(f"doc.`{text_col}`"), "first", "blocks", "quota", "offset", "block_words")
-    out = joined.select("doc", F.explode(texts).alias("_taken"))
-    value = {text_col: F.col("_taken")} | ({chars_col: F.length("_taken").cast(dict(docs.dtypes)[chars_col])} if chars_col in docs.columns else {})
-    return out.select(*(value.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
+def taken_texts():
+    """copies_of() as a function of struct columns, in Arrow batches."""
 
+    @F.arrow_udf("array<string>")
+    def taken(cuts: pa.Array) -> pa.Array:
+        text, *numbers = (cuts.field(i) for i in range(6))
+        rows = zip(*(x.to_pylist() for x in numbers), strict=True)
+        made = pa.array([copies_of(t.as_py(), *row) for t, row in zip(text, rows, strict=True)], pa.list_(pa.string()))
+        return made
 
-def _plain(value):
-    return value if isinstance(value, str) or value is None else int(value)
+    return taken

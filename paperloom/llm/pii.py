@@ -86,7 +86,7 @@ def valid_matches(text: str, before: int = 0, after: int = 0) -> dict[str, Colum
     return {
         "email": find(text, EMAIL, before, after, guard=holds(text, "@")),
         "ip": F.filter(find(text, IP, before, after, guard=has_digit(text)), lambda s: ip_parts_fit(s["m"])),
-        "card": F.filter(find(text, CARD, guard=has_digit(text)), lambda s: card_fits(s["m"])),
+        "card": F.filter(find(text, CARD, before, after, guard=has_digit(text)), lambda s: card_fits(s["m"])),
         "phone": F.filter(find(text, PHONE, before, after, guard=holds(text, "+")), lambda s: F.length(digits(s["m"])).between(9, 15)),
     }
 
@@ -166,10 +166,14 @@ def twins(kind: str, s: Column) -> Column:
         made = [(F.concat(name, F.lit(" [at] "), domain), s["pre"]), (F.concat(name, F.lit("@"), spelled), s["pre"]), (F.concat(name, F.lit(" [at] "), spelled), s["pre"]), (F.concat(name, F.lit(" at "), spelled), F.lit("mail "))]
     elif kind == "ip":
         made = [(F.replace(m, F.lit("."), F.lit(dot)), s["pre"]) for dot in ("[.]", "(.)", " dot ", " [dot] ")] + [(F.regexp_replace(m, r"\.([0-9]+)$", "[.]$1"), s["pre"])]
+    elif kind == "card":
+        made = [(F.concat_ws(by, *(F.substring(digits(m), i, 4) for i in (1, 5, 9, 13))), s["pre"]) for by in (".", " / ", "_", "--")]
     else:
         local = F.regexp_replace(m, r"^\+(?:[0-9]{1,3}(?:[\x20.-]+|(?=\()))?+", "")
         made = [(x, F.lit("call ")) for x in (local, F.concat(F.lit("0"), local), F.regexp_replace(local, r"^([0-9]{2,4})[\x20.-]+", r"($1) "))]
     out = F.array(*(shaped(x, pre, s["post"], kind) for x, pre in made)).cast(f"array<{SHAPE}>")
+    if kind == "card":
+        return F.filter(out, lambda x: F.length(digits(x["m"])) == 16)
     return F.filter(out, lambda x: F.length(digits(x["m"])).between(7, 12) & x["m"].rlike(f"^{NUMBER_LIKE}$")) if kind == "phone" else out
 
 
@@ -183,12 +187,12 @@ def candidates(text: str) -> Column:
     numbers = F.filter(find(text, NUMBER_LIKE, BEFORE, AFTER, guard=has_digit(text)), lambda s: ~s["m"].rlike(DATE))
     numbers = F.transform(of(numbers, "phone"), lambda s: s.withField("kind", F.when(s["m"].rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), "ip").when(F.length(digits(s["m"])) >= 13, "card").otherwise("phone")))
     guarded = has_digit(text) & holds(text, "[.]", "(.)", "[ .", "( .", "dot", "DOT")
-    return F.array_distinct(F.concat(
+    return F.concat(
         of(find(text, MAIL_LIKE, BEFORE, AFTER, guard=spelled), "email"),
         numbers,
         of(find(text, CARD_LIKE, BEFORE, AFTER, guard=has_digit(text)), "card"),
         of(F.filter(find(text, HOST_LIKE, BEFORE, AFTER, guard=guarded), lambda s: s["m"].rlike("[^0-9.]")), "ip"),
-    ))
+    )
 
 
 def judged(shapes: str) -> Column:
@@ -280,7 +284,7 @@ def propose(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
         "id",
         F.concat(*(tagged(k, i, k) for i, k in enumerate(KINDS))).alias("base"),
         candidates("body").alias("seen"),
-        F.concat(*(F.flatten(F.transform(k, partial(twins, k))) for k in ("email", "ip", "phone"))).alias("made"),
+        F.concat(*(F.flatten(F.transform(k, partial(twins, k))) for k in KINDS)).alias("made"),
     )
     # Both kinds of shapes are judged by one expression, then parted again.
     rows = rows.select("id", "base", F.size("seen").alias("n"), F.concat("seen", "made").alias("both")).withColumn("both", judged("both"))
@@ -325,7 +329,9 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     extra = F.transform(fresh, lambda c: F.struct(order(c).alias("o"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
     if math.isinf(cut):
         extra = none_of("struct<o:int,start:int,end:int,kind:string>")
-    return proposed.select(F.col("id").alias(id_col), "base", F.array_sort(F.array_distinct(F.concat("base", extra))).alias("all"))
+    out = proposed.select("id", "base", F.array_sort(F.concat("base", extra)).alias("all"))
+    # Two generators may propose one span; equal spans are neighbours.
+    return out.select(F.col("id").alias(id_col), "base", F.expr("filter(all, (s, i) -> i = 0 OR s <> get(all, i - 1))").alias("all"))
 
 
 def digest_columns(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Items per block of scan(): within one, each step copies what the block has given so far.
+#: Items per block of scan().
 BLOCK = 64
 SPAN = "struct<start:int,end:int,m:string,pre:string,post:string>"
 
@@ -36,17 +36,20 @@ def let(value: str, name: str, body: str) -> str:
 
 def scan(items: str, zero: str, step: str, out: str, state: str, kind: str) -> str:
     """array<kind> of `out` for each item, while a state moves on by `step`; both are in terms of
-    a.s (the state before the item) and x (the item). items is a column or a lambda's variable."""
-    inner = (
-        f"aggregate(slice({items}, at * {BLOCK} + 1, {BLOCK}), named_struct('s', b.s, 'all', {empty(kind)}, 'done', b.done), "
-        f"(a, x) -> named_struct('s', CAST({step} AS {state}), 'all', array_append(a.all, CAST({out} AS {kind})), 'done', a.done), "
-        "a -> named_struct('s', a.s, 'done', array_append(a.done, a.all)))"
+    a.s (the state before the item) and x (the item). items is a column or a lambda's variable.
+
+    aggregate() copies what it has gathered at every step, so states are first carried from
+    block to block, without outputs, and outputs are then gathered within each block."""
+    part = f"slice({items}, at * {BLOCK} + 1, {BLOCK})"
+    blocks = f"sequence(0, CAST((size({items}) - 1) div {BLOCK} AS INT))"
+    after = f"aggregate({part}, named_struct('s', b.s), (a, x) -> named_struct('s', CAST({step} AS {state})), a -> a.s)"
+    states = f"aggregate({blocks}, named_struct('s', CAST({zero} AS {state}), 'all', {empty(state)}), (b, at) -> named_struct('s', {after}, 'all', array_append(b.all, b.s)), b -> b.all)"
+    within = (
+        f"aggregate({part}, named_struct('s', states[at], 'all', {empty(kind)}), "
+        f"(a, x) -> named_struct('s', CAST({step} AS {state}), 'all', array_append(a.all, CAST({out} AS {kind}))), a -> a.all)"
     )
-    outer = (
-        f"aggregate(sequence(0, CAST((size({items}) - 1) div {BLOCK} AS INT)), "
-        f"named_struct('s', CAST({zero} AS {state}), 'done', {empty(f'array<{kind}>')}), (b, at) -> {inner}, b -> flatten(b.done))"
-    )
-    return f"CASE WHEN size({items}) = 0 THEN {empty(kind)} ELSE {outer} END"
+    outs = let(states, "states", f"flatten(transform({blocks}, at -> {within}))")
+    return f"CASE WHEN size({items}) = 0 THEN {empty(kind)} ELSE {outs} END"
 
 
 def find(text: str, pattern: str, before: int = 0, after: int = 0, guard: Column | None = None) -> Column:

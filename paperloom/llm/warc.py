@@ -2,18 +2,25 @@
 
 Writing is declarative: each page becomes a response record (an HTTP message in chunked
 transfer framing) or, where an equal payload is already stored by a page with a smaller
-identifier, a revisit record. A block longer than segment_chars is cut into a first segment
+identifier, a revisit record, whose WARC-Refers-To is the WARC-Record-ID of that response.
+Identifiers of records follow from page, URL, payload and the number of the copy. A block
+longer than segment_chars is cut into a first segment
 and continuation records with WARC-Segment-Number and WARC-Segment-Origin-ID; the last one
 states WARC-Segment-Total-Length. Records are written by Spark's text writer, whose line
 separator is the blank lines that end a record, so the part files are WARC files in any
 store that Spark writes to; a file holds at most RECORDS_PER_FILE records of bounded length.
+A compressed file is one gzip stream (Spark's writer has no members); the reader takes both.
+All cuts are one scan each, so a page of any length costs in proportion to it.
 
 Reading takes whole files (gzip or plain), follows Content-Length from record to record,
 groups segments by origin identifier, orders them by number, verifies that none is missing
 and that the total length agrees, undoes the chunked framing and verifies the digest.
 
 Null html counts as empty. Empty payloads and those under min_revisit_bytes are always
-responses. Rows that repeat a page_id give a record each. A null page_id is written as -1.
+responses. Rows that repeat a page_id give a record each (equal rows are counted, then written
+as numbered copies); all rows with a response's page_id and payload are responses. A null
+page_id is read back as null; such a row revisits an equal payload that has an identifier, and
+is a response where no row of its payload has one.
 Broken archives raise ValueError, naming the record.
 """
 
@@ -27,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, new_folder
+from .common import materialise, sized, trimmed
 
 END = "\r\n\r\n"
 RECORDS_PER_FILE = 2_000
@@ -36,25 +43,47 @@ CHUNK_CHARS = 1 << 13
 
 
 def mark_revisits(pages: DataFrame, *, min_revisit_bytes: int = 100) -> DataFrame:
-    """(page_id, url, html) with payload_bytes, digest and refers_to (null for a response).
+    """(page_id, url, html) with payload_bytes, digest, mark (of URL and payload), copy,
+    refers_to and refers_mark (null for a response).
 
-    Only (digest, page_id) is grouped, with partial aggregation; the rows join the few
+    Only (digest, page_id, mark) is grouped, with partial aggregation; the rows join the few
     digests that occur more than once."""
-    rows = pages.select(F.coalesce("page_id", F.lit(-1)).cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2("html", 256))
-    keys = materialise(rows.filter(F.col("payload_bytes") >= min_revisit_bytes).select("digest", "page_id"), "warc-keys")
-    first = keys.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    first = materialise(first, "warc-first")
-    # Broadcast only a table of checked size (about 100 bytes a row).
-    first = F.broadcast(first) if first.count() <= 100_000 else first
-    # A row that repeats the response's page_id is a response too.
-    return rows.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("first_id") != F.col("page_id"), F.col("first_id"))).drop("first_id")
+    rows = rows.withColumn("mark", F.md5(F.concat("digest", "url")))
+    keys = rows.select("digest", "page_id", "mark", "payload_bytes").groupBy("digest", "page_id", "mark", "payload_bytes").agg(F.count("*").alias("copies"))
+    keys = materialise(keys, "warc-keys")
+    known = keys.filter((F.col("payload_bytes") >= min_revisit_bytes))
+    first = known.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "mark"))).alias("first"), F.sum("copies").alias("n")).filter("n > 1 AND first IS NOT NULL")
+    first = materialise(first.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.mark").alias("first_mark")), "warc-first")
+    repeated = materialise(keys.filter("copies > 1").select(F.col("page_id").alias("r_id"), F.col("mark").alias("r_mark"), "copies"), "warc-repeated")
+    n_repeated = repeated.count()
+    if n_repeated:  # each equal row once, then as often as it occurs
+        same = F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("mark") == F.col("r_mark"))
+        rows = rows.join(sized(repeated, n_repeated, 64), same, "left").drop("r_id", "r_mark")
+        fields = [c for c in rows.columns if c not in ("html", "copies")]
+        equal = rows.filter("copies IS NOT NULL").groupBy(*fields, "copies").agg(F.first("html").alias("html"))
+        equal = equal.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+        rows = rows.filter("copies IS NULL").drop("copies").withColumn("copy", F.lit(1).cast("long")).unionByName(equal)
+    else:
+        rows = rows.withColumn("copy", F.lit(1).cast("long"))
+    rows = rows.join(sized(first, first.count(), 120), "digest", "left")
+    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    return rows.withColumn("refers_to", F.when(again, F.col("first_id"))).withColumn("refers_mark", F.when(again, F.col("first_mark"))).drop("first_id", "first_mark")
+
+
+def cut(text: str, chars: int) -> str:
+    """The text in pieces of so many characters, in one scan."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{chars}}}', 0)"
 
 
 def _chunked(text: str, chars: int) -> str:
-    cut = f"transform(sequence(0, (length({text}) - 1) div {chars}), i -> substring({text}, i * {chars} + 1, {chars}))"
-    framed = f"array_join(transform({cut}, c -> concat(lower(hex(octet_length(c))), '\\r\\n', c, '\\r\\n')), '')"
-    return f"concat(CASE WHEN length({text}) = 0 THEN '' ELSE {framed} END, '0\\r\\n\\r\\n')"
+    framed = f"array_join(transform({cut(text, chars)}, c -> concat(lower(hex(octet_length(c))), '\r\n', c, '\r\n')), '')"
+    return f"concat({framed}, '0\r\n\r\n')"
+
+
+def record_id(page_id: Column, mark: Column, copy: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), mark, F.lit(":"), copy.cast("string"), F.lit(">"))
 
 
 def records(marked: DataFrame, *, segment_chars: int = SEGMENT_CHARS, chunk_chars: int = CHUNK_CHARS, date: str = "2025-01-01T00:00:00Z") -> DataFrame:
@@ -65,10 +94,9 @@ def records(marked: DataFrame, *, segment_chars: int = SEGMENT_CHARS, chunk_char
             F.concat(F.lit("Content-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
         ),
     )
-    rows = marked.withColumn("block", http).drop("html").withColumn("record_id", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(":"), F.uuid(), F.lit(">")))
-    cut = F.expr(f"transform(sequence(0, (length(block) - 1) div {segment_chars}), i -> substring(block, i * {segment_chars} + 1, {segment_chars}))")
+    rows = marked.withColumn("block", http).drop("html").withColumn("record_id", record_id(F.col("page_id"), F.col("mark"), F.col("copy")))
     rows = rows.withColumn("total", F.octet_length("block")).withColumn("n_segments", F.expr(f"(length(block) - 1) div {segment_chars} + 1"))
-    rows = rows.select("*", F.posexplode(cut).alias("at", "piece")).drop("block")
+    rows = rows.select("*", F.posexplode(F.expr(cut("block", segment_chars))).alias("at", "piece")).drop("block")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     first = F.col("at") == 0
     revisit = F.col("refers_to").isNotNull()
@@ -83,7 +111,7 @@ def records(marked: DataFrame, *, segment_chars: int = SEGMENT_CHARS, chunk_char
             line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
             F.when(revisit, F.concat(
                 F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"),
-                line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
+                line("WARC-Refers-To", record_id(F.col("refers_to"), F.col("refers_mark"), F.lit(1))),
             )).otherwise(F.lit("")),
         )).otherwise(F.lit("")),
         F.when(F.col("n_segments") > 1, line("WARC-Segment-Number", (F.col("at") + 1).cast("string"))).otherwise(F.lit("")),
@@ -155,8 +183,9 @@ def http_payload(block: bytes) -> tuple[dict[str, str], bytes]:
 RAW = "record_id string, type string, page_id long, url string, digest string, refers_to long, segment int, total long, block binary"
 
 
-def _page(urn: str) -> int:
-    return int(urn.strip("<>").split(":")[2])
+def _page(urn: str) -> int | None:
+    page = urn.strip("<>").split(":")[2]
+    return None if page == "null" else int(page)
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -180,7 +209,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
     files = spark.read.format("binaryFile").load(folder).select("content")
-    return files.mapInArrow(parse, RAW)
+    return files.mapInArrow(trimmed(parse), RAW)
 
 
 def reassemble(raw: DataFrame) -> DataFrame:
@@ -193,7 +222,7 @@ def reassemble(raw: DataFrame) -> DataFrame:
         F.max("total").alias("total"),
         *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("type", "page_id", "url", "digest", "refers_to")),
     )
-    joined = joined.withColumn("block", F.expr("aggregate(parts, CAST('' AS BINARY), (a, p) -> concat(a, p.block))"))
+    joined = joined.withColumn("block", F.expr("unhex(array_join(transform(parts, p -> hex(p.block)), ''))"))
     fine = F.expr("total IS NOT NULL AND octet_length(block) = total AND parts[size(parts) - 1].segment = size(parts) AND parts[0].segment = 1")
     joined = joined.withColumn("block", F.when(fine, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing or of another length: "), F.col("record_id"))).cast("binary")))
     return whole.unionByName(joined.select(whole.columns))
@@ -228,7 +257,7 @@ def decode(records: DataFrame, *, with_payload: bool = False) -> DataFrame:
                 names += ["url", "payload"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return records.select("page_id", "type", "digest", "refers_to", "url", "block").mapInArrow(run, schema)
+    return records.select("page_id", "type", "digest", "refers_to", "url", "block").mapInArrow(trimmed(run), schema)
 
 
 def read_archives(spark: SparkSession, folder: str, *, with_payload: bool = False) -> DataFrame:
