@@ -15,13 +15,17 @@
 Buckets and clusters of more than BLOCK members (or SHINGLES shingles) are dealt out as pairs
 of blocks, so no task or group grows with them and no pair is lost; pairs are only held
 within a task, one block pair at a time. Nothing of a size that grows with the input comes
-to the driver.
+to the driver; tables are broadcast only up to a checked size in bytes.
 
 Words are runs of characters other than white space, compared as they are. Texts of one to
 four words have one shingle, the whole text; null texts and texts without words link to
-nothing. A row with a null identifier links to nothing and has a null class. Rows that
-repeat an identifier and its text count as copies; an identifier must not repeat with
-another text. Other columns are left aside.
+nothing. Identifiers may be of any type that has an order. A row with a null identifier links
+to nothing and has a null class. Rows that repeat an identifier are documents of their own,
+whatever their texts: each row's class follows from its text, and equal texts count as
+copies. An empty table gives no rows. Other columns are left aside.
+
+Representatives are numbered in order of their least identifier (ties: by digest), so the least
+number of a class stands for its least identifier.
 """
 
 from __future__ import annotations
@@ -35,15 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, remove, sized, trimmed, write_table
 from .components import connected_components
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEP = 16
-BLOCK = 512
-SHINGLES = 1 << 20
-BROADCAST_ROWS = 300_000
+BLOCK = 256
+SHINGLES = 1 << 19
 _rng = np.random.default_rng(0x5EED)
 FLIP = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 FACTOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -204,10 +207,6 @@ def common(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(total[a, b]).astype(np.int64)
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def _dealt(df: DataFrame, keys: list[str], members: str, total: str) -> DataFrame:
     """Rows of each group dealt to pairs of blocks (lo, hi); own is the row's block. Ordered for by_group."""
     blocks = F.greatest(F.ceil(F.col(members) / BLOCK), F.ceil(F.col(total) / SHINGLES)).cast("int")
@@ -215,7 +214,13 @@ def _dealt(df: DataFrame, keys: list[str], members: str, total: str) -> DataFram
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     df = df.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "blocks", members, total)
     keys = [*keys, "lo", "hi"]
-    return df.repartition(*keys).sortWithinPartitions(*keys)
+    # A number of its own: the work of a partition is far from its bytes, by which small ones would be joined.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys)
+
+
+def digest_of(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -227,14 +232,15 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 digests, sizes, sigs = [], [], []
                 for text in part.column(1):
                     grams = shingles(text.as_py(), n)
-                    digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
+                    digests.append(digest_of(grams))
                     sizes.append(len(grams))
                     sigs.append(signature(grams))
                 flat = np.concatenate(sigs).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists], names=["id", "digest", "n", "sig"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(run, "id long, digest binary, n long, sig array<long>")
+    kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(trimmed(run), f"id {kind}, digest binary, n long, sig array<long>")
 
 
 def _sigs(table: pa.Table) -> np.ndarray:
@@ -243,6 +249,7 @@ def _sigs(table: pa.Table) -> np.ndarray:
 
 
 def _in_buckets(least: list[int]) -> Callable:
+    @trimmed
     def run(batches):
         for table, edges in by_group(batches, ["band", "key", "lo", "hi"], 1 << 19):
             a, b = prune(*candidate_pairs(table, edges), _sigs(table), least)
@@ -256,6 +263,7 @@ def _in_buckets(least: list[int]) -> Callable:
 
 
 def _in_clusters(least: list[int], threshold: float) -> Callable:
+    @trimmed
     def run(batches):
         for table, edges in by_group(batches, ["cluster", "lo", "hi"], 1 << 17):
             rep, copies, sigs = table.column("rep").to_numpy(), table.column("copies").to_numpy(), _sigs(table)
@@ -281,47 +289,58 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """One row per document: id, class_id (the least identifier of its class of linked
     documents) and n_links (other documents that are at least that similar)."""
     least = least_agreements(threshold, tolerance)
+    spark = docs.sparkSession
     all_rows = materialise(sketch(docs, id_col, text_col, n), "ngram-sketch")
-    reps = all_rows.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    reps = materialise(reps, "ngram-reps")
+    reps = all_rows.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    # Numbers grow with the partition and within it, so they follow the order of the sort.
+    reps = materialise(reps.orderBy("least_id", "digest").withColumn("rep", F.monotonically_increasing_id()), "ngram-reps")
     banded = reps.select("rep", "n", F.posexplode("sig").alias("band", "key"))
     buckets = materialise(banded.groupBy("band", "key").agg(F.count("*").alias("members"), F.sum("n").alias("total")).filter("members > 1"), "ngram-buckets")
-    members = banded.drop("n").join(_sized(buckets, buckets.count()), ["band", "key"])
-    members = materialise(members.join(reps.select("rep", "sig"), "rep"), "ngram-members")
+    members = banded.drop("n").join(sized(buckets, buckets.count(), 28), ["band", "key"])
+    members_path, members = write_table(members.join(reps.select("rep", "sig"), "rep"), "ngram-members")
     dealt = _dealt(members.withColumn("total", F.lit(0)), ["band", "key"], "members", "total")
     clusters = connected_components(dealt.mapInArrow(_in_buckets(least), "u long, v long"), "ngram-near")
-    clusters = materialise(clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).join(reps.select("rep", "copies", "n"), "rep"), "ngram-clusters")
+    remove(spark, members_path)
+    clusters = clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).join(reps.select("rep", "least_id", "digest", "copies", "n"), "rep")
+    clusters = materialise(clusters, "ngram-clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
     wanted = clusters.drop("n").join(sizes, "cluster")
 
+    @trimmed
     def with_sets(batches):
+        """Sets of the texts whose identifier is a representative's, where it is the same text too."""
+        names = ["rep", "cluster", "copies", "members", "total"]
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 grams = [shingles(t.as_py(), n) for t in part.column("body")]
+                mine = [i for i, (g, d) in enumerate(zip(grams, part.column("digest"), strict=True)) if digest_of(g) == d.as_py()]
+                if not mine:
+                    continue
+                part, grams = part.take(pa.array(mine)), [grams[i] for i in mine]
                 flat = np.concatenate([signature(g) for g in grams]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
-                names = ["rep", "cluster", "copies", "members", "total"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), lists, pa.array([g.tobytes() for g in grams], pa.binary())], names=[*names, "sig", "grams"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("body")).join(_sized(wanted, clusters.count()), "rep")
+    texts = docs.select(F.col(id_col).alias("least_id"), F.col(text_col).alias("body")).join(sized(wanted, clusters.count(), 72), "least_id")
     sets = texts.mapInArrow(with_sets, "rep long, cluster long, copies long, members long, total long, sig array<long>, grams binary").dropDuplicates(["rep"])
     links = _dealt(sets, ["cluster"], "members", "total").mapInArrow(_in_clusters(least, threshold), "u long, v long, links long")
     links = materialise(links, "ngram-links")
     classes = connected_components(links.select("u", "v"), "ngram-class")
     classes = classes.join(links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links")), "node", "left")
-    of_rep = reps.select("digest", "rep", "copies").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    out = all_rows.select("id", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(of_rep, "digest", "left")
-    linked = F.col("id").isNotNull() & F.col("rep").isNotNull()
-    return out.select(
-        F.col("id").alias(id_col),
-        F.when(linked, F.coalesce("root", "rep")).otherwise(F.col("id")).alias("class_id"),
-        F.when(linked, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
-    )
+    classes = classes.join(reps.select(F.col("rep").alias("root"), F.col("least_id").alias("class_id")), "root")
+    of_rep = reps.select("digest", "rep", "least_id", "copies").join(classes.select(F.col("node").alias("rep"), "class_id", "links"), "rep", "left")
+    of_rep = of_rep.select("digest", F.coalesce("class_id", "least_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # Only texts with company are looked up; a text of its own has its identifier for a class.
+    company = materialise(of_rep.filter("n_links > 0"), "ngram-company")
+    rows = all_rows.select("id", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("digest")).alias("digest"))
+    out = rows.join(sized(company, company.count(), 60), "digest", "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """docs with one document of each class, that with the least identifier; all columns.
+    """docs with the documents of one identifier of each class, the least; all columns. (Rows that
+    repeat that identifier stay; exact dedup is another operator's.)
     Dropped identifiers are anti-joined; their table is broadcast up to a checked size."""
     classes = ngram_join(docs, id_col=id_col, text_col=text_col, **settings)
     gone = materialise(classes.filter(F.col("class_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct(), "ngram-gone")
-    return docs.join(_sized(gone, gone.count()), docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(sized(gone, gone.count(), 24), docs[id_col] == F.col("_gone"), "left_anti")

@@ -65,6 +65,20 @@ def test_urls(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_unnamed_hosts(spark):
+    """Hosts that hold no word that the models learned from are judged by likeness alone."""
+    r = random.Random(3)
+    part = lambda: "".join(r.choice(("th", "er", "an", "on", "re", "in")) for _ in range(3))
+    urls = [f"https://blog.{part()}.example.org/en/{k}" for k in range(300)] + [f"http://{w}-{v}{k}.example.com/en/{k}" for k in range(20) for w, v in (("spam", "farm"), ("cheap", "pills"), ("casino", "win"))]
+    unnamed = [f"http://{w}-{v}{k}.example.com/en/{k}" for k in range(20) for w, v in (("free", "bets"), ("poker", "spin"))]
+    out = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls + unnamed)), "page_id long, url string"))
+    rows = {x.page_id: x.verdict for x in out.collect()}
+    assert sum(rows[i] == "block" for i in range(len(urls), len(rows))) >= 0.9 * len(unnamed)
+    assert sum(rows[i] == "block" for i in range(300)) <= 3 and all(rows[i] == "block" for i in range(300, len(urls)))
+    table = {(x.holds, x.verdict): x.n for x in url_filter.confusion(out).collect()}
+    assert table["seed", "block"] == 60 and table["probe", "block"] >= 36 and sum(table.values()) == len(rows)
+
+
 def test_url_query(spark):
     """What follows ? or # is scored; host and path stay as they were."""
     urls = [f"https://blog{k}.site.example.org/garden/{k}" for k in range(80)] + [f"http://casino-win{k}.example.com/adult/{k}" for k in range(80)]
@@ -261,6 +275,58 @@ def test_maximal_segments():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in plain_segments(scores)]
 
 
+def test_passages_places():
+    """Places are those of the text as it is, whatever lower case does to its length."""
+    model = toxicity.Model(weights={"moron": 6.0, "idiot": 6.0}, decay=1.0, max_e=0.05)
+    for head in ("", "İİİİ ", "ΑΣ.Β Σ ", "ſtraße_"):
+        text = f"{head}so MORON Idiot, then"
+        start = text.index("MORON")
+        assert [(s, e) for s, e, *_ in model.passages(text)] == [(start, start + len("MORON Idiot"))]
+
+
+def test_karlin_altschul():
+    """lambda from token frequencies and K by maximum likelihood give the tail of the best
+    segment over random texts of the clean class."""
+    r = random.Random(8)
+    lexicon = {"bad": 2.0, "good": -1.5, "meh": 1.0}
+    chance = {"bad": 0.03, "good": 0.1, "meh": 0.05}
+    rate = toxicity.decay([(lexicon[t], chance[t]) for t in lexicon], 0.2)
+    left = 1 - sum(chance.values())
+    assert left * np.exp(-0.2 * rate) + sum(p * np.exp(rate * lexicon[t]) for t, p in chance.items()) == pytest.approx(1, abs=1e-6)
+    words, weights = [*chance, "other"], [*chance.values(), left]
+    model = toxicity.Model(weights=lexicon, decay=rate)
+    texts = [r.choices(words, weights, k=300) for _ in range(1500)]
+    tops = [(300, model.scan(" ".join(t))[1]) for t in texts]
+    k = toxicity.tail_factor([(m, s) for m, s in tops[:750]], rate)
+    level = sorted(s for _, s in tops[750:])[-75]
+    assert 0.02 < k < 1 and 0.05 < 1 - np.exp(-k * 300 * np.exp(-rate * level)) < 0.2  # a tenth of unseen texts reach it
+
+
+def test_curve():
+    """Isotonic: rises with the evidence, stays within 0 and 1, and pools what falls."""
+    levels = toxicity.curve({0: (1, 100), 3: (8, 10), 5: (2, 10), 9: (10, 10)})
+    assert levels == sorted(levels) and levels[3] == levels[5] == pytest.approx((10 + 21 / 130) / 21) and levels[0] < 0.02 < 0.9 < levels[-1] <= 1
+    assert toxicity.curve({}) == [0.0] * (toxicity.BINS + 1)
+
+
+def test_log_odds(spark):
+    """Weights are log-odds under the Dirichlet prior, by the formula."""
+    r = random.Random(14)
+    words = [f"w{i}" for i in range(30)]
+    data = [" ".join(r.choices(words, k=12)) + (" awful" if i % 3 == 0 and i % 10 else "") + f" u{i}" for i in range(300)]
+    labels = [(i, int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.fit(frame(spark, data), spark.createDataFrame(labels, "doc_id long, toxic int"), prior_strength=50.0)
+    counts, classes = collections.Counter(), (collections.Counter(), collections.Counter())
+    for i, t in enumerate(data):
+        counts.update(set(t.split()))
+        if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3):
+            classes[labels[i][1]].update(set(t.split()))
+    n, x, y = sum(counts.values()), sum(classes[0].values()), sum(classes[1].values())
+    a = 50 * counts["awful"] / n
+    odds = lambda c, total: np.log((c + a) / (total + 50 - c - a))
+    assert model.weights["awful"] == pytest.approx(odds(classes[1]["awful"], y) - odds(classes[0]["awful"], x))
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     words = [f"w{i}" for i in range(400)]
@@ -568,6 +634,32 @@ def test_ngram_join(spark, texts):
     assert got == {i: (find(i), links[i]) for i in range(len(data))}
 
 
+def test_ngram_join_identifiers(spark):
+    """Strings, repeated identifiers with other texts, nulls; a shuffle join where nothing is broadcast."""
+    r = random.Random(15)
+    base = [f"w{r.randint(0, 9999)}" for _ in range(60)]
+    near = lambda k: " ".join([*base[:59], f"x{k}"])
+    other = " ".join(f"o{i}" for i in range(30))
+    rows = [("k", near(1)), ("b", near(2)), ("b", other), ("c", other), ("b", "alone text here"), (None, near(3)), ("z", None), ("y", ""), ("k", near(1))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = collections.Counter(map(tuple, ngram_join.ngram_join(docs).collect()))
+    assert got == collections.Counter([("k", "b", 2), ("k", "b", 2), ("b", "b", 2), ("b", "b", 1), ("c", "b", 1), ("b", "b", 0), (None, None, 0), ("z", "z", 0), ("y", "y", 0)])
+    assert sorted(x.doc_id or "" for x in ngram_join.drop_near(docs).collect()) == ["", "b", "b", "b", "y", "z"]
+    assert ngram_join.ngram_join(docs.limit(0)).count() == 0
+
+
+def test_heavy_components(spark, monkeypatch):
+    """A node with most edges gives the same components through the broadcast of heavy nodes."""
+    from paperloom.llm import components
+
+    edges = [(0, i) for i in range(1, 400)] + [(i, 1000 + i) for i in range(50)] + [(5000 + i, 5001 + i) for i in range(30)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    want = {x.node: x.root for x in connected_components(df, "light").collect()}
+    assert want[1049] == 0 and want[5030] == 5000 and len(want) == 481
+    monkeypatch.setattr(components, "LIGHT", 20)
+    assert {x.node: x.root for x in connected_components(df, "heavy").collect()} == want
+
+
 def test_bayesian_pruning():
     least = ngram_join.least_agreements(0.8, 1e-7)
     assert least == sorted(least) and least[0] < 0.8 * 16 and least[-1] < 0.8 * 128
