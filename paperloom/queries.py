@@ -13,6 +13,7 @@ from .functions.pages import parse_pages, sampled
 from .functions.regexkit import escaped, key_of, yaml_quoted
 from .operators import layout, units, word
 from .operators.slides import chart_text
+from .plans import pages as pages_plan
 from .sources.files import intake_status
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,10 +35,6 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def literal(spark: SparkSession, rows, schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
 def n_of(m, key):
     return F.coalesce(m["counts"][key], F.lit(0)).cast("long")
 
@@ -91,56 +88,6 @@ def mask_protected_html(spark, sf):
     return t(spark, sf, "pages").select("page_id", masking.mask(F.col("html"), ["email"])["text"].alias("masked"))
 
 
-MASK_CASES = [
-    ("mail_mobile", "default", "Mail a.b@voorbeeld.nl of bel 06-87654321.", "Mail [Email] of bel [Telefoon].", "1 email, 1 telefoon"),
-    ("phone_spaced", "default", "Bel 020 - 765 43 21.", "Bel [Telefoon].", "1 telefoon"),
-    ("phone_abroad", "default", "+31 (0)20 7654321", "[Telefoon]", "1 telefoon"),
-    ("contact_link", "default", "Via [post](mailto:x@y.nl).", "Via post.", ""),
-    ("iban", "default", "NL20 INGB 0001 2345 67", "[IBAN]", "1 iban"),
-    ("bsn_valid", "default", "Nummer 111222333.", "Nummer [BSN].", "1 bsn"),
-    ("bsn_named", "default", "BSN 111222334", "BSN [BSN]", "1 bsn"),
-    ("bsn_invalid", "default", "Dossier 111222334.", "Dossier 111222334.", ""),
-    ("card_valid", "default", "4111 1111 1111 1111", "[Creditcard]", "1 creditcard"),
-    ("card_invalid", "default", "4111 1111 1111 1112", "4111 1111 1111 1112", ""),
-    ("plates", "default", "GH-456-J en 34-DEF-5", "[Kenteken] en [Kenteken]", "2 kenteken"),
-    ("postcode_place", "default", "1012 AB Amsterdam", "[Postcode] Amsterdam", "1 postcode"),
-    ("postcode_number", "default", "1012 AB 17", "[Postcode]", "1 postcode"),
-    ("year_unit", "all", "In 2031 NS; 1200 MW", "In 2031 NS; 1200 MW", ""),
-    ("honorific", "naam", "mevrouw De Boer", "mevrouw [Naam]", "1 naam"),
-    ("initials", "naam", "K. van den Heuvel en P.Q. Mulder", "[Naam] en [Naam]", "2 naam"),
-    ("sign_off", "naam", "Met vriendelijke groet,\n\nB. Kok\nAdviseur", "Met vriendelijke groet,\n\n[Naam]\nAdviseur", "1 naam"),
-    ("label", "all", "B. Aanpak", "B. Aanpak", ""),
-    ("street_person", "all", "Dr. Huizingalaan", "Dr. Huizingalaan", ""),
-    ("street_number", "adres", "Dorpsstraat 7b", "[Adres]", "1 adres"),
-    ("street_distance", "adres", "Dorpsstraat 7 meter", "Dorpsstraat 7 meter", ""),
-    ("birth_age", "datum", "Geboren op 03-04-1979, 41 jaar oud", "Geboren op [Datum], [Datum]", "2 datum"),
-    ("plain_date", "all", "per 1 mei 2031", "per 1 mei 2031", ""),
-    ("group_age", "all", "65-jarigen", "65-jarigen", ""),
-    ("image", "all", "![k](figures/x-p012-3.jpg)", "![k](figures/x-p012-3.jpg)", ""),
-    ("comment", "all", "<!-- page 1234 -->", "<!-- page 1234 -->", ""),
-    ("amount", "all", "€ 3,4 miljoen", "€ 3,4 miljoen", ""),
-    ("axis", "all", "0 20 40 60 80 100", "0 20 40 60 80 100", ""),
-    ("service_number", "all", "14 020", "14 020", ""),
-    ("version", "all", "1.2.3.4", "1.2.3.4", ""),
-]
-CASE_SETS = {"default": None, "all": list(masking.CATEGORIES), "naam": ["naam"], "adres": ["adres"], "datum": ["datum"]}
-
-
-def sql_rows(rows) -> str:
-    quote = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return "VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
-
-
-@query(f"SELECT * FROM ({sql_rows([(c, e, s) for c, _, _, e, s in MASK_CASES])}) AS v(case_id, masked, summary)")
-def mask_cases(spark, sf):
-    out = None
-    for name, wanted in CASE_SETS.items():
-        rows = literal(spark, [(c, x) for c, k, x, _, _ in MASK_CASES if k == name], "case_id string, text string")
-        part = rows.select("case_id", masking.mask(F.col("text"), wanted).alias("m")).select("case_id", F.col("m.text").alias("masked"), masking.summary(F.col("m.counts")).alias("summary"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @query(
     f"WITH m AS (SELECT doc_id, source, len(regexp_extract_all(text, '{EMAIL_SQL}')) AS e, len(list_filter(regexp_extract_all(text, '{CARD_SQL}'), lambda m: {LUHN_SQL.format(x='m')})) AS c FROM documents), "
     "s AS (SELECT source AS doc_id, sum(e) AS e, sum(c) AS c FROM m GROUP BY source) "
@@ -209,54 +156,6 @@ def clean_markup(spark, sf):
     return t(spark, sf, "documents").select("doc_id", md.clean_markup(F.col("text"), True).alias("clean"))
 
 
-HEADINGS = [(1, "# **A** **b**\ntext\n##   \n### c   d  \n"), (2, "no heading\n\n#x\n"), (3, "## **bold**   more\ttabs\n\n**keep**\x07�"), (4, "")]
-
-
-@query("SELECT * FROM (" + sql_rows([(1, "# A b\ntext\n\n### c d\n"), (2, "no heading\n\n# x\n"), (3, "## bold more tabs\n\n**keep**"), (4, "")]) + ") AS v(id, clean)")
-def tidy_headings(spark, sf):
-    return literal(spark, HEADINGS, "id int, text string").select("id", md.clean_markup(F.col("text"), False).alias("clean"))
-
-
-TABLES = [
-    (1, "a\n|Col1|Col2|\n|---|---|\n|x y|X Y|\nb\n", "a\nx y\nb\n", 1),
-    (2, "|a|b|\n|---|---|\n|1|2|\n", "|a|b|\n|---|---|\n|1|2|\n", 0),
-    (3, "|a| | | |\n|---|---|---|---|\n| | |x| |\n", "a x\n", 1),
-    (4, "no table | here", "no table | here", 0),
-    (5, "|one long value in a cell|b|\n|---|---|\n|one long value in a cell|one long value in a cell<br>c|\n|one long value in a cell|d|\nend", "one long value in a cell b c d\nend", 1),
-]
-
-
-@query(f"SELECT * FROM ({sql_rows([(a, c, d) for a, _, c, d in TABLES])}) AS v(id, text, dropped)")
-def degenerate_tables(spark, sf):
-    rows = literal(spark, [(a, b) for a, b, _, _ in TABLES], "id int, t string")
-    return rows.select("id", md.drop_degenerate_tables(F.col("t")).alias("x")).select("id", "x.text", "x.dropped")
-
-
-TOCS = [
-    (1, "## Delta als\n\nwaterwerk\ntext", [(1, "Delta als waterwerk")], "# Delta als waterwerk\ntext", 1),
-    (2, "# Heel\n> quote", [(1, "Heel anders")], "# Heel\n> quote", 0),
-    (3, "text", [], "text", 0),
-]
-
-
-@query(f"SELECT * FROM ({sql_rows([(a, d, e) for a, _, _, d, e in TOCS])}) AS v(id, text, repaired)")
-def split_headings(spark, sf):
-    rows = literal(spark, [(a, b, c) for a, b, c, _, _ in TOCS], "id int, t string, toc array<struct<level:int,title:string>>")
-    return rows.select("id", md.repair_split_headings("t", "toc").alias("x")).select("id", "x.text", "x.repaired")
-
-
-@query(
-    "WITH h AS (SELECT p_partkey, p_type AS title, regexp_extract(p_type, '^\\S+ ?\\S*') AS heading, p_size AS page FROM part) "
-    "SELECT p_partkey, heading, title FROM h WHERE regexp_replace(lower(heading), '[^a-z0-9]', '', 'g') <> '' "
-    "AND starts_with(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), regexp_replace(lower(heading), '[^a-z0-9]', '', 'g')) AND regexp_replace(lower(title), '[^a-z0-9]', '', 'g') <> regexp_replace(lower(heading), '[^a-z0-9]', '', 'g')"
-)
-def broken_headings(spark, sf):
-    parts = t(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("page"), "p_type")
-    heads = parts.select("doc_id", "page", F.regexp_extract("p_type", r"^\S+ ?\S*", 0).alias("heading"))
-    out = layout.broken_headings(heads, parts.select("doc_id", "page", F.lit(1).alias("level"), F.col("p_type").alias("title")))
-    return out.select(F.col("doc_id").alias("p_partkey"), "heading", "title")
-
-
 @query(
     r"SELECT doc_id, regexp_replace(text, '([\\`*_\[\]])', '\\\1', 'g') AS escaped, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS key, "
     "chr(34) || replace(source, chr(34), chr(92) || chr(34)) || chr(34) AS quoted FROM documents"
@@ -265,22 +164,6 @@ def escapes(spark, sf):
     return t(spark, sf, "documents").select("doc_id", escaped(F.col("text")).alias("escaped"), key_of(F.col("text")).alias("key"), yaml_quoted(F.col("source")).alias("quoted"))
 
 
-STARTS = [("2024. Een jaar", "2024\\. Een jaar"), ("- en", "\\- en"), ("# tag", "\\# tag"), ("> x", "\\> x"), ("plain", "plain"), ("3) x", "3\\) x"), ("-x", "-x"), ("2024.x", "2024.x")]
-
-
-@query(f"SELECT * FROM ({sql_rows([(a, b) for a, b in STARTS])}) AS v(text, safe)")
-def block_starts(spark, sf):
-    return literal(spark, [(a,) for a, _ in STARTS], "text string").select("text", md.escape_block_start(F.col("text")).alias("safe"))
-
-
-RUNS = [(1, [("a", "**"), ("b", "**"), (" c ", "*")], "**ab** *c* "), (2, [("x", ""), (" ", "**"), ("y", "***")], "x ***y***"), (3, [], ""), (4, [("", "**"), (" z", "**")], " **z**")]
-
-
-@query(f"SELECT * FROM ({sql_rows([(a, c) for a, _, c in RUNS])}) AS v(id, text)")
-def emphasis_runs(spark, sf):
-    return literal(spark, [(a, b) for a, b, _ in RUNS], "id int, runs array<struct<text:string,fmt:string>>").select("id", md.join_runs(F.col("runs")).alias("text"))
-
-
 @query(
     "WITH r AS (SELECT r_regionkey, r_name, string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS body FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2) "
     "SELECT r_regionkey, '| key | name |' || chr(10) || '|---|---|' || chr(10) || body AS markdown, CAST(1 AS INT) AS tables FROM r"
@@ -388,17 +271,6 @@ def semi_join_figures(spark, sf):
     return units.referenced_figures(figures, texts)
 
 
-@query(
-    "SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN q = 0 AND ink THEN 'geen tekstlaag - waarschijnlijk een scan, niets opgehaald' WHEN q < 60 AND ink THEN 'heel weinig tekst (' || q || ' tekens) op een pagina met beeld' END, "
-    "CASE WHEN l_linenumber > 3 THEN l_linenumber || ' tabel(len) gevonden - controleer de kolommen' END], lambda x: x IS NOT NULL), '; ') AS warnings, q >= 40 AND 30 < 0.75 * q AND q >= 200 AS lost FROM (SELECT *, CAST(l_quantity AS INT) * 2 - 2 AS q, l_returnflag = 'R' AS ink FROM lineitem)"
-)
-def page_warnings(spark, sf):
-    rows = t(spark, sf, "lineitem").withColumns({"q": F.col("l_quantity").cast("int") * 2 - 2, "ink": F.col("l_returnflag") == "R"})
-    tables = F.when(F.col("l_linenumber") > 3, F.col("l_linenumber")).otherwise(0)
-    w = units.pdf_warnings(F.col("q"), F.col("ink"), tables, F.lit(0), F.lit(False))
-    return rows.select("l_orderkey", "l_linenumber", F.array_join(w, "; ").alias("warnings"), units.lost_text(F.lit(30), F.col("q")).alias("lost"))
-
-
 # --- layout ------------------------------------------------------------------------------
 
 
@@ -473,19 +345,6 @@ def reading_order(spark, sf):
     return layout.reading_order(s, F.lit(200_000)).select("o_orderkey", "place")
 
 
-LEVELS = [(2, 1, True, "hybrid", 2), (None, 4, True, "hybrid", 0), (None, 4, False, "hybrid", 4), (None, 2, True, "toc", 0), (1, 3, True, "fontsize", 3), (1, None, True, "toc", 1), (None, None, False, "hybrid", 0)]
-
-
-@query(f"SELECT * FROM ({sql_rows([(i, r[4]) for i, r in enumerate(LEVELS)])}) AS v(id, level)")
-def header_levels(spark, sf):
-    out = None
-    for mode in ("hybrid", "toc", "fontsize"):
-        rows = literal(spark, [(i, *r[:3]) for i, r in enumerate(LEVELS) if r[3] == mode], "id int, a int, b int, has boolean")
-        part = rows.select("id", layout.header_level(F.col("a"), F.col("b"), F.col("has"), mode).alias("level"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @query(
     "WITH f AS (SELECT n_regionkey AS doc_id, n_nationkey AS idx FROM nation), l AS (SELECT s_suppkey AS ord, s_nationkey AS n, s_name AS text FROM supplier) SELECT f.doc_id, f.idx, coalesce(string_agg(text, '; ' ORDER BY ord) FILTER (rn <= 40), '') AS labels FROM f LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY n ORDER BY ord) AS rn FROM l) l ON l.n = f.idx GROUP BY 1, 2"
 )
@@ -500,18 +359,159 @@ def figure_labels(spark, sf):
 
 # --- intake ------------------------------------------------------------------------------
 
-SPECS = [("", 3, "1,2,3"), ("3", 5, "3"), ("3-9", 5, "3,4,5"), ("3,7,11-13", 12, "3,7,11,12"), ("9-3", 12, ""), ("2,2,1", 3, "1,2"), ("0-2", 3, "1,2")]
 
+# --- repairs and rules over tables ----------------------------------------------------------
 
-@query(f"SELECT * FROM ({sql_rows([(i, r[2]) for i, r in enumerate(SPECS)])}) AS v(id, pages)")
-def page_spec(spark, sf):
-    rows = literal(spark, [(i, *r[:2]) for i, r in enumerate(SPECS)], "id int, spec string, total int")
-    return rows.select("id", F.array_join(parse_pages(F.col("spec"), F.col("total")), ",").alias("pages"))
+WORDS = "split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2"
+BSN_SQL = "(" + " + ".join(f"CAST(bsn[{i + 1}] AS INT) * {9 - i}" for i in range(8)) + " - CAST(bsn[9] AS INT)) % 11 = 0"
 
 
-PATHS = [("a/b.PDF", "accepted"), ("a/~$b.docx", "junk"), ("._x.pdf", "junk"), (".hidden/y.pdf", "junk"), ("Thumbs.db", "junk"), ("old.doc", "legacy"), ("n.txt", "skipped"), ("d.pptx", "accepted"), ("x/.DS_Store", "junk")]
+def words(spark, sf):
+    w = lambda i: F.get(F.split("p_name", " "), F.lit(i))
+    return t(spark, sf, "part").withColumns({"w1": w(0), "w2": w(1)})
 
 
-@query(f"SELECT * FROM ({sql_rows(PATHS)}) AS v(path, status)")
+@query(
+    "WITH c AS (SELECT c_custkey, c_custkey AS n, lpad(CAST((c_custkey * 7919 + 104729) % 1000000000 AS VARCHAR), 9, '0') AS bsn FROM customer), v AS (SELECT *, " + BSN_SQL + " AS ok FROM c) "
+    "SELECT c_custkey, 'Mail [Email], bel [Telefoon] rekening [IBAN] kenteken [Kenteken] adres [Adres], [Postcode] Amsterdam geboren op [Datum], [Datum] mevrouw [Naam] nummer ' || CASE WHEN ok THEN '[BSN]' ELSE bsn END || ' zie `' || n || '@x.nl` einde' AS masked, "
+    "'2 datum, 1 email, 1 telefoon, 1 iban, ' || CASE WHEN ok THEN '1 bsn, ' ELSE '' END || '1 kenteken, 1 postcode, 1 naam, 1 adres' AS summary FROM v"
+)
+def mask_composed(spark, sf):
+    """All categories over a letter for each customer; code spans stay."""
+    n = F.col("c_custkey")
+    pad = lambda c, k: F.lpad(c.cast("string"), k, "0")
+    parts = [
+        F.lit("Mail klant"), n.cast("string"), F.lit("@voorbeeld.nl, bel 06-"), pad(n % 100_000_000, 8), F.lit(" rekening NL"), pad(n % 100, 2), F.lit(" INGB 0001 2345 "), pad(n % 97, 2),
+        F.lit(" kenteken AB-"), pad(n % 1000, 3), F.lit("-C adres Dorpsstraat "), (n % 200 + 1).cast("string"), F.lit(", 1012 AB Amsterdam geboren op 03-04-19"), pad(n % 100, 2), F.lit(", "), (n % 90 + 10).cast("string"),
+        F.lit(" jaar oud mevrouw De Boer nummer "), pad((n * 7919 + 104729) % 1_000_000_000, 9), F.lit(" zie `"), n.cast("string"), F.lit("@x.nl` einde"),
+    ]
+    m = masking.mask(F.concat(*parts), list(masking.CATEGORIES))
+    return t(spark, sf, "customer").select("c_custkey", m.alias("m")).select("c_custkey", F.col("m.text").alias("masked"), masking.summary(F.col("m.counts")).alias("summary"))
+
+
+@query("SELECT p_partkey, '## ' || p_type || ' ' || p_name || ' x' || chr(10) || 'body **b**' || chr(10) AS clean FROM part")
+def tidy_headings(spark, sf):
+    text = F.concat(F.lit("##  **"), "p_type", F.lit("**   "), "p_name", F.lit("\tx\nbody\x07 **b**\n#   "))
+    return t(spark, sf, "part").select("p_partkey", md.clean_markup(text, False).alias("clean"))
+
+
+@query(
+    "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || chr(10) || p_type || ' ' || p_brand || chr(10) || 'end' ELSE p_name || chr(10) || '|a|b|' || chr(10) || '|---|---|' || chr(10) || '|' || p_type || '|' || p_brand || '|' || chr(10) || 'end' END AS text, "
+    "CAST(1 - p_partkey % 2 AS INT) AS dropped FROM part"
+)
+def degenerate_tables(spark, sf):
+    head = F.when(F.col("p_partkey") % 2 == 0, F.lit("|Col1|Col2|")).otherwise(F.lit("|a|b|"))
+    text = F.concat("p_name", F.lit("\n"), head, F.lit("\n|---|---|\n|"), "p_type", F.lit("|"), "p_brand", F.lit("|\nend"))
+    return t(spark, sf, "part").select("p_partkey", md.drop_degenerate_tables(text).alias("x")).select("p_partkey", "x.text", "x.dropped")
+
+
+@query(
+    f"WITH w AS (SELECT *, {WORDS} FROM part) SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN repeat('#', 1 + CAST(p_size AS INT) % 3) || ' ' || p_name || chr(10) || 'text ' || p_type "
+    "ELSE '### ' || w1 || chr(10) || chr(10) || w2 || chr(10) || 'text ' || p_type END AS text, CAST(1 - p_partkey % 2 AS INT) AS repaired FROM w"
+)
+def split_headings(spark, sf):
+    toc = F.array(F.struct((1 + F.col("p_size") % 3).cast("int").alias("level"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise("elsewhere").alias("title")))
+    text = F.concat(F.lit("### "), "w1", F.lit("\n\n"), "w2", F.lit("\ntext "), "p_type")
+    return words(spark, sf).select("p_partkey", md.repair_split_headings(text, toc).alias("x")).select("p_partkey", "x.text", "x.repaired")
+
+
+@query(f"SELECT p_partkey, w1 AS heading, p_name AS title FROM (SELECT *, {WORDS} FROM part) WHERE w2 <> ''")
+def broken_headings(spark, sf):
+    parts = words(spark, sf).select(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("page"), F.lit(1).alias("level"), F.col("p_name").alias("title"), F.col("w1").alias("heading"))
+    out = layout.broken_headings(parts.select("doc_id", "page", "heading"), parts.select("doc_id", "page", "level", "title"))
+    return out.select(F.col("doc_id").alias("p_partkey"), "heading", "title")
+
+
+STARTS = ("- ", "{k}. ", "# ", "> ", "{k}) ", "")
+
+
+@query(
+    "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '\\- ' WHEN 1 THEN o_orderkey || '\\. ' WHEN 2 THEN '\\# ' WHEN 3 THEN '\\> ' WHEN 4 THEN o_orderkey || '\\) ' ELSE '' END || o_orderpriority AS safe FROM orders"
+)
+def block_starts(spark, sf):
+    start = F.lit(None).cast("string")
+    for i, form in enumerate(STARTS):
+        start = F.when(F.col("o_orderkey") % 6 == i, F.replace(F.lit(form), F.lit("{k}"), F.col("o_orderkey").cast("string"))).otherwise(start)
+    return t(spark, sf, "orders").select("o_orderkey", md.escape_block_start(F.concat(start, "o_orderpriority")).alias("safe"))
+
+
+@query(f"SELECT p_partkey, '**' || w1 || ' ' || w2 || '** *' || p_type || '* ' || p_brand AS text FROM (SELECT *, {WORDS} FROM part)")
+def emphasis_runs(spark, sf):
+    run = lambda text, fmt: F.struct(text.alias("text"), F.lit(fmt).alias("fmt"))
+    runs = F.array(run(F.col("w1"), "**"), run(F.lit(" "), "**"), run(F.lit(""), "*"), run(F.col("w2"), "**"), run(F.concat(F.lit(" "), "p_type", F.lit(" ")), "*"), run(F.col("p_brand"), ""))
+    return words(spark, sf).select("p_partkey", md.join_runs(runs).alias("text"))
+
+
+@query(
+    "WITH r AS (SELECT l_orderkey, l_linenumber, l_linenumber % 3 AS a, CAST(l_quantity AS INT) % 6 AS b, l_linenumber % 2 = 0 AS has FROM lineitem), f AS (SELECT *, CASE WHEN has AND b > 3 THEN 0 ELSE b END AS font FROM r) "
+    "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN a > 0 THEN a ELSE font END AS INT) AS hybrid, CAST(a AS INT) AS toc, CAST(font AS INT) AS fontsize FROM f"
+)
+def header_levels(spark, sf):
+    a, b, has = F.nullif((F.col("l_linenumber") % 3).cast("int"), F.lit(0)), F.nullif(F.col("l_quantity").cast("int") % 6, F.lit(0)), F.col("l_linenumber") % 2 == 0
+    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *(layout.header_level(a, b, has, mode).cast("int").alias(mode) for mode in ("hybrid", "toc", "fontsize")))
+
+
+@query(
+    "WITH s AS (SELECT o_orderkey, o_orderkey % 9 + 1 AS a, o_orderkey % 7 + 1 AS b, o_orderkey % 11 AS total FROM orders) SELECT o_orderkey, "
+    "array_to_string(list_transform(list_sort(list_distinct(list_filter(list_concat([a], range(b, b + 5)), lambda x: x <= total))), lambda x: CAST(x AS VARCHAR)), ',') AS pages FROM s"
+)
+def page_spec(spark, sf):
+    k = F.col("o_orderkey")
+    text = lambda c: c.cast("string")
+    spec = F.concat(text(k % 9 + 1), F.lit(","), text(k % 7 + 1), F.lit("-"), text(k % 7 + 5))
+    return t(spark, sf, "orders").select("o_orderkey", F.array_join(parse_pages(spec, (k % 11).cast("int")), ",").alias("pages"))
+
+
+@query("SELECT p_partkey, ['accepted', 'junk', 'junk', 'legacy', 'skipped', 'accepted'][p_partkey % 6 + 1] AS status FROM part")
 def intake(spark, sf):
-    return literal(spark, [(p,) for p, _ in PATHS], "path string").select("path", intake_status(F.col("path")).alias("status"))
+    name = F.col("p_name")
+    forms = F.array(F.concat(F.lit("map/"), name, F.lit(".PDF")), F.concat(F.lit("map/~$"), name, F.lit(".docx")), F.concat(F.lit(".x/"), name, F.lit(".pdf")), F.concat(name, F.lit(".doc")), F.concat(name, F.lit(".txt")), F.concat(name, F.lit(".pptx")))
+    return t(spark, sf, "part").select("p_partkey", intake_status(F.get(forms, (F.col("p_partkey") % 6).cast("int"))).alias("status"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN q = 0 AND ink THEN 'geen tekstlaag - waarschijnlijk een scan, niets opgehaald' WHEN q < 60 AND ink THEN 'heel weinig tekst (' || q || ' tekens) op een pagina met beeld' END, "
+    "CASE WHEN l_linenumber > 3 THEN l_linenumber || ' tabel(len) gevonden - controleer de kolommen' END, CASE WHEN l_linenumber % 2 = 1 THEN '1 valse tabel(len) uit vectorvormen verwijderd - kijk naar het figuur zelf' END, "
+    "CASE WHEN lost THEN 'tekst werd opgeslokt door vectorvormen; pagina opnieuw gedaan zonder die vormen - een tabel hier staat als platte tekst' END], lambda x: x IS NOT NULL), '; ') AS warnings, lost "
+    "FROM (SELECT *, q >= 200 AND 160 < 0.75 * q AS lost FROM (SELECT *, CAST(l_quantity AS INT) * 12 - 12 AS q, l_returnflag = 'R' AS ink FROM lineitem))"
+)
+def page_warnings(spark, sf):
+    rows = t(spark, sf, "lineitem").withColumns({"q": F.col("l_quantity").cast("int") * 12 - 12, "ink": F.col("l_returnflag") == "R"})
+    rows = rows.withColumn("lost", units.lost_text(F.lit(160), F.col("q")))
+    tables = F.when(F.col("l_linenumber") > 3, F.col("l_linenumber")).otherwise(0)
+    w = units.pdf_warnings(F.col("q"), F.col("ink"), tables, F.col("l_linenumber") % 2, F.col("lost"))
+    return rows.select("l_orderkey", "l_linenumber", F.array_join(w, "; ").alias("warnings"), "lost")
+
+
+# --- pages of laid-out documents --------------------------------------------------------------
+
+PLAIN_SQL = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))"
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, source, {PLAIN_SQL} AS body FROM documents), h AS (SELECT *, '# **Kop**   ' || doc_id || chr(10) || chr(10) || '# Jaar' || chr(10) || 'verslag ' || doc_id || chr(10) || chr(10) || '|Col1|Col2|' || chr(10) || '|---|---|' || chr(10) || '|aa|bb|' || chr(10) || chr(10) "
+    "|| '![](stage/' || source || '-' || doc_id || '-0.png)' || chr(10) || chr(10) AS head, "
+    "'# Kop ' || doc_id || chr(10) || chr(10) || '## Jaar verslag ' || doc_id || chr(10) || chr(10) || 'aa bb' || chr(10) || chr(10) || '![](figures/' || source || '-p' || printf('%03d', CAST(doc_id + 1 AS INT)) || '-0.png)' || chr(10) || chr(10) || '_Labels in figuur:_ Alfa ' || doc_id || '; beta' AS done FROM d), "
+    "f AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN left(body, length(body) // 3) ELSE body END AS part FROM h), "
+    "v AS (SELECT *, length(trim(head || body, ' ' || chr(10))) AS visible, length(trim(head || part, ' ' || chr(10))) AS got FROM f), r AS (SELECT *, visible >= 200 AND got < 0.75 * visible AS again FROM v) "
+    "SELECT source AS doc, CAST(doc_id + 1 AS INT) AS unit_no, done || CASE WHEN (CASE WHEN again THEN body ELSE part END) = '' THEN '' ELSE chr(10) || trim(CASE WHEN again THEN body ELSE part END) END AS markdown, CAST(0 AS INT) AS tables, CAST(1 AS INT) AS heading_repairs, CAST(1 AS INT) AS dropped_tables, again AS text_recovered, "
+    "'1 valse tabel(len) uit vectorvormen verwijderd - kijk naar het figuur zelf' || CASE WHEN again THEN '; tekst werd opgeslokt door vectorvormen; pagina opnieuw gedaan zonder die vormen - een tabel hier staat als platte tekst' ELSE '' END AS warnings FROM r WHERE source IS NOT NULL"
+)
+def page_pipeline(spark, sf):
+    """Laid-out pages to units: one page for each document, under its source."""
+    body = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))
+    n = F.col("doc_id").cast("string")
+    d = t(spark, sf, "documents").filter("source IS NOT NULL").withColumn("body", body)
+    head = F.concat(F.lit("# **Kop**   "), n, F.lit("\n\n# Jaar\nverslag "), n, F.lit("\n\n|Col1|Col2|\n|---|---|\n|aa|bb|\n\n![](stage/"), "source", F.lit("-"), n, F.lit("-0.png)\n\n"))
+    part = F.when(F.col("doc_id") % 3 == 0, F.left("body", F.floor(F.length("body") / 3).cast("int"))).otherwise(F.col("body"))
+    page = (F.col("doc_id") + 1).cast("int")
+    passes = d.select(F.col("source").alias("doc_id"), page.alias("unit_no"), F.concat(head, part).alias("marked"), F.concat(head, "body").alias("plain"), F.length(F.trim(F.concat(head, "body"))).alias("visible"), F.lit(True).alias("has_ink"), F.lit(1).alias("tables"), F.lit(1).alias("plain_tables"))
+    docs = d.select(F.col("source").alias("doc_id"), F.col("source").alias("slug")).distinct()
+    toc = d.select(F.col("source").alias("doc_id"), page.alias("page"), F.lit(1).alias("ord"), F.lit(2).alias("level"), F.concat(F.lit("Jaar verslag "), n).alias("title"))
+    box = lambda *at: [F.lit(float(v)).alias(c) for c, v in zip(("x0", "y0", "x1", "y1"), at, strict=True)]
+    figures = d.select(F.col("source").alias("doc_id"), page.alias("page"), F.lit(0).alias("idx"), *box(0, 0, 9, 9))
+    line = lambda k, text, *at: d.select(F.col("source").alias("doc_id"), page.alias("page"), F.lit(k).alias("ord"), text.alias("text"), *box(*at))
+    lines = line(1, F.concat(F.lit("Alfa "), n), 1, 1, 2, 2).unionByName(line(2, F.lit("beta"), 1, 3, 2, 4)).unionByName(line(3, F.lit("BETA"), 1, 5, 2, 6)).unionByName(line(4, F.lit("outside"), 20, 1, 22, 2))
+    spans = d.select(F.col("source").alias("doc_id"), page.alias("page"), F.lit("plain").alias("text"), F.lit(0).alias("flags"))
+    made = pages_plan.finish(pages_plan.Layout(docs, passes, spans, toc, figures, lines))
+    return made.select(F.col("doc_id").alias("doc"), "unit_no", "markdown", "tables", "heading_repairs", "dropped_tables", "text_recovered", F.array_join("warnings", "; ").alias("warnings"))
