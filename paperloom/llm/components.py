@@ -15,7 +15,7 @@ from .common import remove, write_table
 
 #: A node is heavy with more than LIGHT neighbours, or more than its share of edges beyond which
 #: there can be no more than HEAVY_NODES of them (24 bytes each).
-LIGHT, HEAVY_NODES = 1_000, 400_000
+LIGHT, HEAVY_NODES = 100, 400_000
 
 
 def _with_least(edges: DataFrame, n_edges: int, self_too: bool) -> DataFrame:

@@ -6,12 +6,14 @@ Longest common prefixes of neighbours follow from the ranks of each doubling. Fr
 
 * words in windows of three that occur twice or more (a base rule),
 * LCP intervals of at least min_repeat words that are left-maximal: the maximal repeats,
-* the union of their spans as a share of the words, and the longest repeat.
+* the union of their spans as a share of the words, and the longest repeat. The deepest interval
+  that holds a suffix has the LCP of its nearer neighbour, and the spans of all other intervals
+  lie within those of the deepest, so the union is read from there.
 
 A document is kept if it passes the base rules, repeats cover at most max_covered of its
 words, and no repeat is longer than max_longest (a share of its words, but at least
 min_longest words). Null text counts as no words, and fails as every text under min_words
-does. Rows that repeat are judged each; other columns are left aside.
+does. Rows that repeat are judged each; other columns are left aside. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import trimmed
+
 BATCH_WORDS = 200_000
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -196,4 +200,4 @@ def repetition_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], names=[id_col, *TYPES])
                     at, texts, size = i + 1, [], 0
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), schema)

@@ -7,9 +7,11 @@ either, merges never cross there, and each chunk (space marks and a run of lette
 others) can be encoded by itself and remembered. New chunks of one length are merged together: their agendas are the
 rows of one matrix of pair costs, and each round takes every row's first best pair. Long
 chunks and those with characters outside the vocabulary have a heap each. Every chunk that an Arrow batch brings anew is also encoded by the
-sentencepiece library in one call; a difference stops the job. Decoding is the library's.
+sentencepiece library in one call, and so is every whole text whose identifier is a multiple of
+check_every (by its hash, if it is no number); a difference stops the job. Decoding is the library's.
+Without byte pieces, neighbouring unknown ids are one, across chunks too.
 
-Null counts as the empty text, which has begin and end ids only.
+Null counts as the empty text, which has begin and end ids only. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,12 +20,15 @@ import hashlib
 import heapq
 import itertools
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import trimmed
+
 MARK = "▁"
 #: Chunks that a worker remembers before it starts afresh: bounds its memory.
 CACHE_CHUNKS = 600_000
@@ -210,6 +215,19 @@ class Agenda:
             wrong = next(c for c, ids, own in zip(chunks, theirs, ours, strict=True) if np.array(ids, "<u4").tobytes() != own)
             raise ValueError(f"differs from the library on {wrong!r}")
 
+    def whole(self, parts):
+        """Parts of a text; without byte pieces, an unknown id does not follow another."""
+        if self.has_bytes:
+            return parts
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        unknown = ids == int.from_bytes(self.unknown, "little")
+        return [ids[~(unknown & np.r_[False, unknown[:-1]])].tobytes()]
+
+    def verify(self, text: str, packed: bytes) -> None:
+        """The library must encode the whole text alike."""
+        if np.array(self.library.encode(text, add_bos=True, add_eos=True), "<u4").tobytes() != packed:
+            raise ValueError(f"differs from the library on a text that starts with {text[:80]!r}")
+
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, little-endian unsigned 32-bit, with begin and end."""
         known = self.known
@@ -223,7 +241,7 @@ class Agenda:
                 self.encode_chunks(fresh)
                 self.check(fresh)
             for chunks, got in zip(cut, found, strict=True):
-                yield b"".join([self.begin, *(map(known.__getitem__, chunks) if None in got else got), self.end])
+                yield b"".join([self.begin, *self.whole(map(known.__getitem__, chunks) if None in got else got), self.end])
             for chunk in fresh:
                 if len(chunk) > CACHE_CHARS:
                     del known[chunk]
@@ -239,7 +257,7 @@ def agenda_of(model_file: str) -> Agenda:
     return _agendas[model_file]
 
 
-def encode_decode(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", with_output: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", with_output: bool = False, check_every: int = 50) -> DataFrame:
     """One row per document: id, n_tokens (all ids), ids_sha256, decoded_sha256; and, with_output,
     the ids themselves (array of int) and the decoded text. Rows that repeat are each encoded;
     other columns of docs are left aside."""
@@ -253,7 +271,9 @@ def encode_decode(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", t
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 counts, ids_sha, decoded_sha, all_ids, decoded = [], [], [], [], []
-                for packed in agenda.encode_batch(texts):
+                for i, text, packed in zip(part.column(0).to_pylist(), texts, agenda.encode_batch(texts), strict=True):
+                    if (i if isinstance(i, int) else zlib.crc32(repr(i).encode())) % check_every == 0:
+                        agenda.verify(text, packed)
                     ids = np.frombuffer(packed, dtype="<u4").tolist()
                     text = agenda.library.decode(ids)
                     counts.append(len(ids))
@@ -268,4 +288,4 @@ def encode_decode(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", t
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), schema)

@@ -371,6 +371,18 @@ def test_agenda_random_strings():
         assert np.frombuffer(packed, "<u4").tolist() == agenda.library.encode(text, add_bos=True, add_eos=True)
 
 
+def test_agenda_checks():
+    """A whole text that the library encodes otherwise stops the job; unknown runs are one id."""
+    agenda = sentencepiece_bpe.Agenda(tokenizer_path())
+    packed = next(agenda.encode_batch(["some text"]))
+    agenda.verify("some text", packed)
+    with pytest.raises(ValueError):
+        agenda.verify("some text", packed[:-4])
+    agenda.has_bytes = False
+    u = agenda.unknown
+    assert b"".join(agenda.whole([u, u + agenda.begin, u, u])) == u + agenda.begin + u
+
+
 # --- 6 ------------------------------------------------------------------------------------
 
 
@@ -392,6 +404,38 @@ def test_repetition(spark, texts):
     assert rows[len(data) - 1].longest_repeat == 10 and rows[len(data) - 1].n_maximal_repeats == 1 and rows[len(data) - 2].longest_repeat == 160
 
 
+def test_repetition_verdict():
+    """Maximal repeats, the words they cover and the longest, by their definitions."""
+    r = random.Random(17)
+    limits = repetition.Limits(min_words=10, min_repeat=3, max_covered=0.3, max_longest=0.2, min_longest=5)
+    texts = []
+    for _ in range(250):
+        words = [r.choice("abcdefghijklmnopqrstuvwxyz"[: r.choice((4, 12, 26))]) for _ in range(r.randint(0, 45))]
+        if r.random() < 0.5 and len(words) > 12:
+            words += words[3 : 3 + r.randint(3, 9)]
+        texts.append(" ".join(words))
+    got = repetition.measure(texts, limits)
+    for k, text in enumerate(texts):
+        w = text.split()
+        n = len(w)
+        where = collections.defaultdict(list)
+        for i in range(n):
+            for j in range(i + 3, n + 1):
+                where[tuple(w[i:j])].append(i)
+        repeats = {s: at for s, at in where.items() if len(at) > 1}
+        after = lambda s, at: {w[i + len(s)] if i + len(s) < n else -i - 1 for i in at}  # noqa: E731, B023
+        before = lambda at: {w[i - 1] if i else None for i in at}  # noqa: E731, B023
+        maximal = [s for s, at in repeats.items() if len(after(s, at)) > 1 and len(before(at)) > 1]
+        words = {i + d for s, at in repeats.items() for i in at for d in range(len(s))}
+        longest = max(map(len, repeats), default=0)
+        share = len(words) / max(n, 1)
+        assert (got["n_maximal_repeats"][k], got["longest_repeat"][k]) == (len(maximal), longest) and got["covered"][k] == pytest.approx(share)
+        twice = {t for t, c in collections.Counter(tuple(w[i : i + 3]) for i in range(n - 2)).items() if c > 1}
+        inside = len({i + d for i in range(n - 2) if tuple(w[i : i + 3]) in twice for d in range(3)})
+        failed = n < 10 or inside > 0.5 * n
+        assert got["kept"][k] == (not failed and share <= 0.3 and longest <= max(0.2 * n, 5))
+
+
 # --- 7 ------------------------------------------------------------------------------------
 
 
@@ -677,8 +721,22 @@ def test_components(spark):
 
 def test_empty_tables(spark):
     none = frame(spark, [])
-    for made in (pii.find_pii(none), secrets.find_secrets(none), sentencepiece_bpe.encode_decode(none, tokenizer_path()), repetition.repetition_rules(none), mixing.mix(none), lsm_dedup.exact_dedup(none), ngram_join.ngram_join(none)):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    for made in (pii.find_pii(none), secrets.find_secrets(none), toxicity.score_documents(none, labels), sentencepiece_bpe.encode_decode(none, tokenizer_path()), repetition.repetition_rules(none), mixing.mix(none), lsm_dedup.exact_dedup(none), ngram_join.ngram_join(none)):
         assert made.count() == 0
+    for made in (toxicity.drop_toxic(none, labels), lsm_dedup.drop_copies(none), ngram_join.drop_near(none), mixing.mix_documents(none)):
+        assert made.count() == 0 and made.columns == none.columns
+
+
+def test_scratch(spark):
+    """What a block writes is gone after it, but for what it keeps."""
+    import os
+
+    with common.scratch(spark) as keep:
+        gone, _ = common.write_table(spark.range(3), "gone")
+        kept, table = common.write_table(spark.range(3), "kept")
+        keep.append(kept)
+    assert not os.path.exists(gone) and table.count() == 3
 
 
 def test_word_count(spark, texts):
