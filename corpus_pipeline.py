@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import lsm_dedup, mixing, ngram_join, sentencepiece_bpe, toxicity
-from paperloom.llm.common import materialise, table
+from paperloom.llm.common import remove, scratch, table, write_table
 from paperloom.llm.queries import tokenizer_path
 
 
@@ -51,7 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage wrote for itself is deleted once its result is
+    written, and that once the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            path, docs = write_table(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+            keep.append(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
