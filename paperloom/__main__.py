@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 
 from .functions.masking import CATEGORIES, default_categories
 from .functions.pages import Options
-from .operators.units import REPORT, report_bytes
+from .messages import DONE
+from .operators.units import REPORT, first_warnings, report_bytes
 from .plans.convert import convert
 from .sources.files import collect, street_list
-from .sources.sinks import write_documents, write_report
+from .sources.sinks import write_report, write_tree
+
+#: Rows of the report, and warnings, that are printed; the report itself is written whole.
+SHOWN = 200
 
 
 def options_of(args: argparse.Namespace) -> Options:
@@ -68,11 +72,16 @@ def main(argv: list[str] | None = None) -> int:
         sys.stdout.write(documents[0].document)
     else:
         folders = report.join(made.files.select("doc_id", F.col("relative").alias("pad")), "pad").filter("map <> ''").select("doc_id", F.col("map").alias("folder"))
-        write_documents(made.documents().join(folders, "doc_id"), f"{args.out}/documents")
-        made.figures.join(folders, "doc_id").select("folder", "path", "bytes").write.parquet(f"{args.out}/figures")
-        write_report(report, REPORT, f"{args.out}/overzicht")
-    failed = report.filter("status <> 'klaar'").count()
-    print(report_bytes(report, REPORT, "pad").decode("utf-8-sig"), file=sys.stderr)
+        slugs = made.files.select("doc_id", "slug")
+        out = args.out if "://" in args.out else os.path.abspath(args.out)
+        write_tree(made.documents().join(folders, "doc_id").join(slugs, "doc_id"), made.figures.join(folders, "doc_id"), out)
+        write_report(made.report(ordered=True), REPORT, f"{args.out}/overzicht", order=("input_no", "pad"))
+    failed = report.filter(F.col("status") != DONE).count()
+    shown = made.report(ordered=True).orderBy("input_no", "pad").limit(SHOWN)
+    print(report_bytes(shown, REPORT, "input_no", "pad").decode("utf-8-sig"), file=sys.stderr)
+    names = made.files.select("doc_id", F.col("relative").alias("pad"))
+    for row in first_warnings(made.units).join(names, "doc_id").orderBy("pad", "nr").limit(SHOWN).collect():
+        print(f"{row.pad} {row.unit_no}: {row.warning}", file=sys.stderr)
     return int(failed > 0)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import messages
 from ..functions import markdown as md
 from ..functions.regexkit import escaped, let, strip
 from ..sources.stage import stage
@@ -16,8 +17,6 @@ from ..sources.stage import stage
 NOWHERE = 10**12
 TITLES = ("title", "ctrTitle")
 BODIES = ("body", "obj")
-SMARTART = "SmartArt: alleen de tekst is overgenomen"
-EMBEDDED = "ingesloten object niet omgezet"
 EMPTY = "dia zonder tekst"
 
 
@@ -95,7 +94,7 @@ def chart_text(title: Column, points: Column) -> Column:
 
     def put(p: Column) -> Column:
         heads = F.array_sort(F.filter(p, lambda x: x["series"].isNotNull() & x["idx"].isNull()))
-        names = F.transform(heads, lambda h: F.coalesce(h["name"], F.concat(F.lit("Reeks "), (h["series"] + 1).cast("string"))))
+        names = F.transform(heads, lambda h: F.coalesce(h["name"], F.concat(F.lit(messages.SERIES), (h["series"] + 1).cast("string"))))
         indices = F.array_sort(F.array_distinct(F.transform(F.filter(p, lambda x: x["idx"].isNotNull()), lambda x: x["idx"])))
         one = lambda keep, name: F.get(F.transform(F.filter(p, keep), lambda x: x[name]), F.lit(0))
         row = lambda i: F.concat(
@@ -103,8 +102,8 @@ def chart_text(title: Column, points: Column) -> Column:
             F.transform(heads, lambda h: F.coalesce(one(lambda x: (x["series"] == h["series"]) & (x["idx"] == i), "value"), F.lit(""))),
         )
         table = md.render_table(F.concat(F.array(F.concat(F.array(F.lit("")), names)), F.transform(indices, row)))
-        head = F.concat(F.lit("_Grafiek"), F.when(title != "", F.concat(F.lit(": "), title)).otherwise(F.lit("")), F.lit("_\n\n"))
-        return F.when(F.size(heads) == 0, F.lit("_[Grafiek zonder gegevens]_")).otherwise(F.concat(head, table))
+        head = F.concat(F.lit(messages.CHART), F.when(title != "", F.concat(F.lit(": "), title)).otherwise(F.lit("")), F.lit("_\n\n"))
+        return F.when(F.size(heads) == 0, F.lit(messages.EMPTY_CHART)).otherwise(F.concat(head, table))
 
     return let(points, put)
 
@@ -140,12 +139,12 @@ def convert(packages: DataFrame, slugs: DataFrame, notes: bool = True) -> DataFr
     titles = top.groupBy("doc_id", "slide_no").agg(F.coalesce(F.min_by(F.when(F.col("ph_type").isin(*TITLES), F.col("text")), F.when(F.col("ph_type").isin(*TITLES), F.col("place"))), F.max(F.when((F.col("place") == 1) & titled, F.col("text"))), F.lit("")).alias("title"))
     body = top.join(titles, ["doc_id", "slide_no"]).filter("text <> title").groupBy("doc_id", "slide_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]).alias("body"))
     said = placed.filter("notes").groupBy("doc_id", "slide_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z", "text"))), lambda x: x["text"]), "\n\n").alias("said"))
-    quoted = F.concat(F.lit("**Notities:**\n\n"), F.array_join(F.transform(F.split("said", "\n", -1), lambda t: F.when(t == "", F.lit(">")).otherwise(F.concat(F.lit("> "), t))), "\n"))
-    warned = shapes.filter("kind IN ('smartart', 'other')").groupBy("doc_id", "slide_no").agg(F.collect_set(F.when(F.col("kind") == "other", F.lit(EMBEDDED)).otherwise(F.lit(SMARTART))).alias("w"))
+    quoted = F.concat(F.lit(messages.NOTES + "\n\n"), F.array_join(F.transform(F.split("said", "\n", -1), lambda t: F.when(t == "", F.lit(">")).otherwise(F.concat(F.lit("> "), t))), "\n"))
+    warned = shapes.filter("kind IN ('smartart', 'other')").groupBy("doc_id", "slide_no").agg(F.collect_set(F.when(F.col("kind") == "other", F.lit(messages.EMBEDDED)).otherwise(F.lit(messages.SMARTART))).alias("w"))
     out = slides.join(titles, ["doc_id", "slide_no"], "left").join(body, ["doc_id", "slide_no"], "left").join(said, ["doc_id", "slide_no"], "left").join(warned, ["doc_id", "slide_no"], "left")
     empty = F.array().cast("array<string>")
     title = F.replace(F.coalesce("title", F.lit("")), F.lit("  \n"), F.lit(" "))
-    head = F.concat(F.lit("## Dia "), F.col("slide_no").cast("string"), F.when(title != "", F.concat(F.lit(": "), title)).otherwise(F.lit("")), F.when(F.col("hidden"), F.lit(" _(verborgen dia)_")).otherwise(F.lit("")))
+    head = F.concat(F.lit(messages.SLIDE), F.col("slide_no").cast("string"), F.when(title != "", F.concat(F.lit(": "), title)).otherwise(F.lit("")), F.when(F.col("hidden"), F.lit(messages.HIDDEN_SLIDE)).otherwise(F.lit("")))
     return out.select(
         "doc_id", F.col("slide_no").alias("unit_no"), title.alias("title"),
         F.concat_ws("\n\n", head, F.coalesce("body", empty), F.when(F.lit(notes) & (F.col("said") != ""), quoted)).alias("markdown"),

@@ -11,13 +11,12 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import messages
 from ..functions import masking
 from ..functions.markdown import csv_cell, figure_links
 from ..functions.regexkit import rstrip, yaml_quoted
+from ..messages import REPORT, REVIEW_REPORT, UNIT_OF  # noqa: F401
 
-#: Singular and plural names for readers, and names in separators.
-UNIT_OF = {"pdf": "page", "docx": "section", "pptx": "slide"}
-UNIT_NAMES = {"page": ("pagina", "pagina's"), "section": ("sectie", "secties"), "slide": ("dia", "dia's")}
 SPARSE_CHARS = 60
 RETRY_SHARE, RETRY_CHARS = 0.75, 200
 
@@ -49,13 +48,13 @@ def next_warned(units: DataFrame) -> DataFrame:
 
 
 def pdf_warnings(raw_chars: Column, has_ink: Column, tables: Column, dropped: Column, recovered: Column) -> Column:
-    n = lambda c, tail: F.concat(c.cast("string"), F.lit(tail))
+    say = lambda text, c: F.replace(F.lit(text), F.lit("{n}"), c.cast("string"))
     return F.array_compact(F.array(
-        F.when((raw_chars == 0) & has_ink, F.lit("geen tekstlaag - waarschijnlijk een scan, niets opgehaald"))
-        .when((raw_chars < SPARSE_CHARS) & has_ink, F.concat(F.lit("heel weinig tekst ("), n(raw_chars, " tekens) op een pagina met beeld"))),
-        F.when(tables > 0, n(tables, " tabel(len) gevonden - controleer de kolommen")),
-        F.when(dropped > 0, n(dropped, " valse tabel(len) uit vectorvormen verwijderd - kijk naar het figuur zelf")),
-        F.when(recovered, F.lit("tekst werd opgeslokt door vectorvormen; pagina opnieuw gedaan zonder die vormen - een tabel hier staat als platte tekst")),
+        F.when((raw_chars == 0) & has_ink, F.lit(messages.SCANNED))
+        .when((raw_chars < SPARSE_CHARS) & has_ink, say(messages.SPARSE, raw_chars)),
+        F.when(tables > 0, say(messages.TABLES_FOUND, tables)),
+        F.when(dropped > 0, say(messages.TABLES_DROPPED, dropped)),
+        F.when(recovered, F.lit(messages.TEXT_RECOVERED)),
     ))
 
 
@@ -144,10 +143,13 @@ def counters(units: DataFrame) -> DataFrame:
 
 def unique_folders(files: DataFrame, base: str = "base", kind: str = "kind", order: str = "ord") -> DataFrame:
     """Folder names by first fit, as the sequential rule gives them: a name in use gets the
-    kind, then 2, 3 and so on. A list of files is settings-sized and goes over the driver."""
+    kind, then 2, 3 and so on. Only names that occur twice, or look as if they had been given
+    so, can meet another; the rule goes over those on the driver, all others keep their name."""
+    times = files.groupBy(F.col(base).alias("_b")).agg(F.count("*").alias("_n"))
+    marked = files.join(times, F.col(base) == F.col("_b")).withColumn("_meets", (F.col("_n") > 1) | F.col(base).rlike(r"-(?:pdf|docx|pptx)(?:-[0-9]+)?$")).drop("_b", "_n")
     used: set[str] = set()
     out = []
-    for row in files.select(order, base, kind).orderBy(order).toLocalIterator():
+    for row in marked.filter("_meets").select(order, base, kind).orderBy(order).toLocalIterator():
         name = row[1] if row[1] not in used else f"{row[1]}-{row[2]}"
         folder, n = name, 2
         while folder in used:
@@ -155,22 +157,26 @@ def unique_folders(files: DataFrame, base: str = "base", kind: str = "kind", ord
         used.add(folder)
         out.append((row[0], folder))
     named = files.sparkSession.createDataFrame(out, f"{order} {dict(files.dtypes)[order]}, folder string")
-    return files.join(named, order)
+    alone = marked.filter(~F.col("_meets")).drop("_meets")
+    return alone.withColumn("folder", F.col(base)).unionByName(marked.filter("_meets").drop("_meets").join(named, order))
 
 
-REPORT = ("bestand", "pad", "formaat", "eenheden", "omgezet", "met waarschuwing", "gemaskeerd", "map", "status")
-REVIEW_REPORT = ("bestand", "pad", "formaat", "eenheden", "omgezet", "nagekeken", "aangepast", "met waarschuwing", "gemaskeerd", "map in zip", "status")
+def first_warnings(units: DataFrame, most: int = 20) -> DataFrame:
+    """(doc_id, nr, unit_no, warning): the first warnings of each document in order of its units."""
+    each = units.select("doc_id", "unit_no", F.posexplode("warnings").alias("at", "warning"))
+    nr = F.row_number().over(Window.partitionBy("doc_id").orderBy("unit_no", "at"))
+    return each.withColumn("nr", nr).filter(F.col("nr") <= most).select("doc_id", "nr", "unit_no", "warning")
 
 
-def csv_lines(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(line): one report row, cells guarded against formulas and quoted where needed."""
+def csv_lines(rows: DataFrame, names: Sequence[str], *more: Column) -> DataFrame:
+    """(line, more): one report row, cells guarded against formulas and quoted where needed."""
     cells = [csv_cell(F.coalesce(F.col(f"`{n}`").cast("string"), F.lit(""))) for n in names]
-    return rows.select(F.concat_ws(";", *cells).alias("line"))
+    return rows.select(F.concat_ws(";", *cells).alias("line"), *more)
 
 
-def report_bytes(rows: DataFrame, names: Sequence[str], order: str) -> bytes:
+def report_bytes(rows: DataFrame, names: Sequence[str], *order: str) -> bytes:
     """The report as spreadsheets read it: byte-order mark, semicolons, CRLF. One row a document."""
-    cells = csv_lines(rows.orderBy(order), names).toLocalIterator()
+    cells = csv_lines(rows.orderBy(*order), names).toLocalIterator()
     return ("﻿" + "".join(line + "\r\n" for line in [";".join(names), *(r.line for r in cells)])).encode()
 
 

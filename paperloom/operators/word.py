@@ -10,20 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import messages
 from ..functions import markdown as md
 from ..functions.regexkit import escaped, let, strip
 from ..sources.stage import stage
 
-MAX_STYLE_DEPTH = 24
 ITEM = r"^\s*(?:-|\d+\.) "
-CHART_WARNING = "grafiek (Word-chart) niet omgezet"
 VECTOR_EXTENSIONS = (".emf", ".wmf")
 
 
 def style_levels(packages: DataFrame) -> DataFrame:
     """(doc_id, style, heading, num_id, ilvl, list_depth): what each style or, failing that, the
-    nearest style it is based on decides. Chains are followed for a bounded number of steps,
-    so a cycle ends too."""
+    nearest style it is based on decides. A chain without a cycle has no more steps than the
+    document has styles; so many are followed, so a cycle ends too."""
     s = packages.select("doc_id", F.explode("styles").alias("s")).select("doc_id", "s.*").dropDuplicates(["doc_id", "id"])
     named = F.try_to_number(F.regexp_extract("name", r"(?i)^heading\s*(\d)$", 1), F.lit("9")).cast("int")
     own = F.coalesce(named, F.when(F.lower("name") == "title", 1), F.col("outline") + 1)
@@ -37,7 +36,7 @@ def style_levels(packages: DataFrame) -> DataFrame:
             F.struct(F.col("all")[acc["at"]]["based_on"].alias("at"), pick(F.col("all")[acc["at"]]).alias("found"))
         )
         zero = F.struct(start.alias("at"), pick(F.col("all")[F.lit(None).cast("string")]).alias("found"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_STYLE_DEPTH)), zero, step, lambda acc: acc["found"])
+        return F.aggregate(F.sequence(F.lit(1), F.size("all")), zero, step, lambda acc: acc["found"])
 
     numbered = lambda x: F.when(x["num"]["num_id"].isNotNull(), x["num"])
     out = s.select("doc_id", "style", "list_depth").join(maps, "doc_id")
@@ -78,11 +77,11 @@ def paragraphs(packages: DataFrame, slugs: DataFrame) -> DataFrame:
         .when(F.col("kind") == "tab", F.lit(" "))
         .when(F.col("kind") == "break", F.lit("  \n"))
         .when(F.col("kind") == "note", F.concat(F.lit("[^"), F.col("number").cast("string"), F.lit("]")))
-        .when(F.col("kind") == "chart", F.lit("\n\n_[Grafiek niet omgezet]_\n\n"))
+        .when(F.col("kind") == "chart", F.lit(f"\n\n{messages.CHART_PLACE}\n\n"))
         .when(F.col("path").isNotNull(), F.concat(F.lit("\n\n!["), F.col("alt"), F.lit("]("), F.col("path"), F.lit(")\n\n")))
         .otherwise(F.lit(""))
     )
-    warning = F.when(F.col("kind") == "chart", F.lit(CHART_WARNING)).when(F.col("vector"), F.concat(F.lit("figuur in "), F.col("ext"), F.lit("-formaat, niet zichtbaar in de meeste viewers")))
+    warning = F.when(F.col("kind") == "chart", F.lit(messages.CHART_NOT_CONVERTED)).when(F.col("vector"), F.replace(F.lit(messages.VECTOR_FIGURE), F.lit("{n}"), F.col("ext")))
     # A hyperlink's pieces are rendered first and stand as one plain piece.
     grouped = runs.groupBy("doc_id", "ord", F.coalesce("link_no", -1 - F.col("at"), F.lit(0)).alias("g"), F.col("link_no").isNotNull().alias("linked")).agg(
         F.min("at").alias("at"), F.first("target", True).alias("target"), F.collect_set(warning).alias("warned"),

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import messages
 from ..functions import markdown as md
 from ..functions.masking import masked_front_matter
 from ..functions.pages import Options, parse_pages
@@ -21,7 +22,6 @@ from ..sources import docx, pptx
 from ..sources.files import core_properties, with_format
 from ..sources.stage import stage
 
-NO_EXTRACTOR = "geen PDF-extractor ingesteld"
 UNIT_COLUMNS = ("doc_id", "kind", "unit_no", "title", "markdown", "warnings", "masked", "chars", "tables")
 
 
@@ -46,8 +46,9 @@ class Conversion:
         text = units.office_front_matter(F.col("title"), F.col("name"), F.col("kind"), F.col("n"), F.col("props.author"), F.col("props.created"), F.col("props.modified"), self.options.speaker_notes)
         return rows.select("doc_id", masked_front_matter(text, self.options.anonymize).alias("front"))
 
-    def report(self) -> DataFrame:
-        """One row per file, with the report's column names."""
+    def report(self, *, ordered: bool = False) -> DataFrame:
+        """One row per file, with the report's column names; ordered adds input_no, the place of
+        the input that a file came with (rows of one input go by their path)."""
         totals = units.mask_totals(self.units).select("doc_id", "summary")
         counts = self.units.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.size("warnings") > 0).alias("warned")).join(totals, "doc_id")
         folders = units.unique_folders(self.files.filter("status IS NULL").select("doc_id", md.folder_base(F.col("relative")).alias("base"), "kind", "relative"), order="relative").select("doc_id", "folder")
@@ -57,7 +58,8 @@ class Conversion:
             F.col("name").alias("bestand"), F.col("relative").alias("pad"), F.coalesce(F.when(F.col("status").isNull(), F.col("kind")), F.lit("")).alias("formaat"),
             F.when(n > 0, F.concat(n.cast("string"), F.lit(" "), units.unit_of(F.col("kind")), F.lit("s"))).otherwise(F.lit("")).alias("eenheden"), n.alias("omgezet"),
             F.coalesce("warned", F.lit(0)).alias("met waarschuwing"), F.coalesce("summary", F.lit("")).alias("gemaskeerd"), F.coalesce("folder", F.lit("")).alias("map"),
-            F.when(F.col("status").isNull(), F.lit("klaar")).otherwise(F.concat(F.lit("mislukt: "), F.col("status"))).alias("status"),
+            F.when(F.col("status").isNull(), F.lit(messages.DONE)).otherwise(F.concat(F.lit(messages.FAILED), F.col("status"))).alias("status"),
+            *((F.col("input_no") if "input_no" in rows.columns else F.lit(0).alias("input_no"),) if ordered else ()),
         )
 
     def review_report(self, edits: DataFrame) -> DataFrame:
@@ -91,7 +93,7 @@ def convert(files: DataFrame, options: Options = Options(), pages: str = "", pdf
     if pdf is not None:
         found = found.unionByName(pdf(known.filter("kind = 'pdf'"), options).withColumn("kind", F.lit("pdf")))
     listed = stage(known.drop("content", "length", "modificationTime"), "files").join(errors, "doc_id", "left")
-    status = F.coalesce("status", "error", F.when((F.col("kind") == "pdf") & F.lit(pdf is None), F.lit(NO_EXTRACTOR)))
+    status = F.coalesce("status", "error", F.when((F.col("kind") == "pdf") & F.lit(pdf is None), F.lit(messages.NO_EXTRACTOR)))
     listed = listed.withColumns({"status": status, "slug": slug, "props": core_properties(F.col("core"))}).drop("core", "error")
     listed = listed.withColumn("title", md.title_of(F.col("props.title"), F.col("slug")))
     if pages:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import markdown as md
@@ -181,9 +181,9 @@ def table_render(spark, sf):
 )
 def chart_pivot(spark, sf):
     counts = t(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("idx"), F.col("o_orderpriority").alias("name")).agg(F.count("*").cast("string").alias("value"))
-    names = counts.select("name").distinct().agg(F.array_sort(F.collect_list("name")).alias("names"))  # priorities: five
+    names = counts.agg(F.array_sort(F.collect_set("name"))).scalar()  # priorities: five
     kind = "array<struct<series:int,name:string,idx:int,category:string,value:string>>"
-    rows = counts.join(F.broadcast(names)).withColumn("series", (F.array_position("names", F.col("name")) - 1).cast("int"))
+    rows = counts.withColumn("names", names).withColumn("series", (F.array_position("names", F.col("name")) - 1).cast("int"))
     points = rows.agg(F.collect_list(F.struct("series", "name", "idx", F.lit(None).cast("string").alias("category"), "value")).alias("v"), F.collect_set(F.struct("series", "name", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("value"))).alias("s"), F.collect_set(F.struct(F.lit(None).cast("int").alias("series"), F.lit(None).cast("string").alias("name"), "idx", F.col("idx").cast("string").alias("category"), F.lit(None).cast("string").alias("value"))).alias("c"))
     return points.select(chart_text(F.lit("orders"), F.concat(F.col("v").cast(kind), F.col("s").cast(kind), F.col("c").cast(kind))).alias("markdown"))
 
@@ -515,3 +515,14 @@ def page_pipeline(spark, sf):
     spans = d.select(F.col("source").alias("doc_id"), page.alias("page"), F.lit("plain").alias("text"), F.lit(0).alias("flags"))
     made = pages_plan.finish(pages_plan.Layout(docs, passes, spans, toc, figures, lines))
     return made.select(F.col("doc_id").alias("doc"), "unit_no", "markdown", "tables", "heading_repairs", "dropped_tables", "text_recovered", F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query(
+    "WITH w AS (SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_returnflag, l_linestatus) AS unit_no, l_returnflag AS f, l_linestatus AS s FROM lineitem), "
+    "e AS (SELECT doc_id, unit_no, 0 AS pos, f AS warning FROM w WHERE f <> 'N' UNION ALL SELECT doc_id, unit_no, 1, s FROM w WHERE s = 'O'), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit_no, pos) AS nr FROM e) "
+    "SELECT doc_id, CAST(nr AS INT) AS nr, CAST(unit_no AS INT) AS unit_no, warning FROM r WHERE nr <= 20"
+)
+def first_warnings(spark, sf):
+    n = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"))
+    w = F.array_compact(F.array(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")), F.when(F.col("l_linestatus") == "O", F.col("l_linestatus"))))
+    return units.first_warnings(t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("doc_id"), n.alias("unit_no"), w.alias("warnings")))

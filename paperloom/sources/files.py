@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import messages
+
 EXTENSIONS = ("pdf", "docx", "pptx")
 LEGACY = ("doc", "ppt", "dot", "pot")
 OLE_MAGIC = "D0CF11E0A1B11AE1"
-STATUS_OLE = "oud of versleuteld Office-bestand: sla het op als .docx of .pptx zonder wachtwoord"
-STATUS_UNKNOWN = "onbekend bestandsformaat"
 
 
 def is_junk(name: Column) -> Column:
@@ -96,7 +96,7 @@ def with_format(files: DataFrame) -> DataFrame:
     pdf, ole, zipped = magic.startswith("255044462D"), magic == OLE_MAGIC, magic.startswith("504B")
     package = _zip_kind(F.when(zipped, F.col("content")).otherwise(F.lit(b"")))
     kind = F.when(pdf, "pdf").when(ole, None).when(package.isNotNull(), package).when(extension(F.col("name")) == "pdf", "pdf")
-    return files.withColumn("kind", kind).withColumn("status", F.when(ole, STATUS_OLE).when(F.col("kind").isNull(), STATUS_UNKNOWN))
+    return files.withColumn("kind", kind).withColumn("status", F.when(ole, messages.OLD_OFFICE).when(F.col("kind").isNull(), messages.UNKNOWN_FORMAT))
 
 
 def core_properties(xml: Column) -> Column:

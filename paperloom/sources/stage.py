@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,12 +11,15 @@ from pyspark.sql import DataFrame
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir (a new temporary folder where the session
-    names none) and read back: what uses it more than once does not compute it again."""
+    """df written as Parquet below spark.checkpoint.dir (where the session names none: in local mode a
+    temporary folder, removed at the end; on a cluster that is an error) and read back: what uses it more than once does not compute it again."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="paperloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/paperloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

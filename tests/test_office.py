@@ -109,7 +109,8 @@ def test_options(spark, decks):
 
 def test_command_line(spark, decks, tmp_path, capsys):
     assert main([decks, "-o", str(tmp_path / "out"), "--no-images", "--anonymize", "none"]) == 0
-    text = "".join(r.value + "\n" for r in spark.read.text(str(tmp_path / "out" / "documents")).collect())
+    text = (tmp_path / "out" / "deck" / "deck.md").read_text()
+    assert next((tmp_path / "out" / "overzicht").glob("part-*")).read_text("utf-8-sig").splitlines()[1].startswith("deck.pptx;")
     assert "## Dia 1: Deck title" in text and "deck.pptx;deck.pptx;pptx;3 slides;3;1;;deck;klaar" in capsys.readouterr().err
 
 
