@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
+from ..functions.masking import masked_front_matter
 from ..functions.pages import Options
 from ..functions.regexkit import strip
 from ..operators import layout, units
+from .convert import with_margins
 
 
 @dataclass
@@ -80,14 +82,24 @@ def reader(extract: Callable[[DataFrame, Options], Layout]) -> Callable[[DataFra
     return lambda files, options: finish(extract(files, options), options).select("doc_id", "unit_no", "title", "markdown", "warnings")
 
 
-def probe(rows: Layout, options: Options = Options()) -> DataFrame:  # noqa: B008
+def probe(rows: Layout, options: Options = Options(), margins: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """(doc_id, pages, toc_entries, coverage, strip, margin_top, margin_bottom) without converting a
-    page; margins need blocks with page heights, which lines may carry as page_h."""
+    page. margins (doc_id, top, bottom) are a user's; suggested ones need the heights of pages,
+    which lines may carry as page_h."""
     pages = rows.passes.groupBy("doc_id").agg(F.max("unit_no").alias("pages"))
     entries = rows.toc.groupBy("doc_id").agg(F.count("*").alias("toc_entries"))
     out = pages.join(entries, "doc_id", "left").withColumn("toc_entries", F.coalesce("toc_entries", F.lit(0)))
     out = out.join(stripped(rows.spans, rows.docs, rows.passes, options).select("doc_id", "coverage", "strip"), "doc_id", "left")
     if "page_h" not in rows.lines.columns:
         return out.withColumns({"margin_top": F.lit(0.0), "margin_bottom": F.lit(0.0)})
-    margins = layout.suggest_margins(rows.lines, pages).select("doc_id", F.col("top").alias("margin_top"), F.col("bottom").alias("margin_bottom"))
-    return out.join(margins, "doc_id", "left")
+    best = with_margins(layout.suggest_margins(rows.lines, pages), margins)
+    return out.join(best.select("doc_id", F.col("top").alias("margin_top"), F.col("bottom").alias("margin_bottom")), "doc_id", "left")
+
+
+def fronts(rows: Layout, about: DataFrame, options: Options = Options(), margins: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """(doc_id, front) of documents, about (doc_id, name, title, author, creation, creator, producer,
+    extractor) being what their files say of themselves."""
+    d = probe(rows, options, margins).join(about, "doc_id").join(rows.docs, "doc_id")
+    c = F.col
+    front = units.pdf_front_matter(md.title_of(c("title"), c("slug")), c("name"), c("pages"), *(F.coalesce(k, F.lit("")) for k in ("author", "creation", "creator", "producer")), c("toc_entries"), c("extractor"), F.lit(options.heading_mode), c("coverage"), c("strip"))
+    return d.select("doc_id", masked_front_matter(front, options.anonymize).alias("front"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import markdown as md
 from .functions import masking
-from .functions.pages import parse_pages, sampled
+from .functions.pages import Options, parse_pages, sampled
 from .functions.regexkit import escaped, key_of, yaml_quoted
 from .operators import layout, units, word
 from .operators.slides import chart_text
@@ -526,3 +526,20 @@ def first_warnings(spark, sf):
     n = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"))
     w = F.array_compact(F.array(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")), F.when(F.col("l_linestatus") == "O", F.col("l_linestatus"))))
     return units.first_warnings(t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("doc_id"), n.alias("unit_no"), w.alias("warnings")))
+
+
+@query(
+    "WITH l AS (SELECT l_suppkey AS d, CAST(l_linenumber AS INT) AS page, length(l_returnflag || l_linestatus) AS n, l_returnflag = 'R' AS bold FROM lineitem), p AS (SELECT d, max(page) AS pages, count(*) AS entries FROM l GROUP BY d), "
+    "c AS (SELECT d, round(sum(CASE WHEN bold THEN n ELSE 0 END) / sum(n), 3) AS coverage, sum(CASE WHEN bold THEN n ELSE 0 END) / sum(n) > 0.6 AS strip FROM l GROUP BY d) "
+    "SELECT d AS doc_id, array_to_string(['---', 'title: \"doc ' || d || '\"', 'source_file: \"doc-' || d || '.pdf\"', 'pages: ' || pages, 'creator: \"maker\"', 'toc_entries: ' || entries, 'extracted_with: \"rows\"', 'heading_mode: \"hybrid\"', "
+    "'bold_coverage: ' || printf('%.3f', coverage), 'emphasis_stripped: ' || strip, 'anonymized: [email]', '---'], chr(10)) AS front FROM p JOIN c USING (d)"
+)
+def pdf_fronts(spark, sf):
+    """Front matter of laid-out documents: suppliers' lines as spans, one bookmark each."""
+    d = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("page"), F.concat("l_returnflag", "l_linestatus").alias("text"), F.when(F.col("l_returnflag") == "R", 16).otherwise(0).alias("flags"))
+    slug = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+    passes = d.select("doc_id", F.col("page").alias("unit_no")).distinct()
+    toc = d.select("doc_id", "page", F.lit(1).alias("ord"), F.lit(1).alias("level"), F.lit("x").alias("title"))
+    docs = d.select("doc_id", slug.alias("slug")).distinct()
+    about = docs.select("doc_id", F.concat("slug", F.lit(".pdf")).alias("name"), F.lit("").alias("title"), F.lit("someone").alias("author"), F.lit("").alias("creation"), F.lit("maker").alias("creator"), F.lit("").alias("producer"), F.lit("rows").alias("extractor"))
+    return pages_plan.fronts(pages_plan.Layout(docs, passes, d, toc, d, d), about, Options(anonymize=("email",)))
