@@ -11,7 +11,7 @@ from .functions import markdown as md
 from .functions import masking
 from .functions.pages import Options, parse_pages, sampled
 from .functions.regexkit import escaped, key_of, yaml_quoted
-from .operators import layout, units, word
+from .operators import layout, slides, units, word
 from .operators.slides import chart_text
 from .plans import pages as pages_plan
 from .sources.files import intake_status
@@ -543,3 +543,46 @@ def pdf_fronts(spark, sf):
     docs = d.select("doc_id", slug.alias("slug")).distinct()
     about = docs.select("doc_id", F.concat("slug", F.lit(".pdf")).alias("name"), F.lit("").alias("title"), F.lit("someone").alias("author"), F.lit("").alias("creation"), F.lit("maker").alias("creator"), F.lit("").alias("producer"), F.lit("rows").alias("extractor"))
     return pages_plan.fronts(pages_plan.Layout(docs, passes, d, toc, d, d), about, Options(anonymize=("email",)))
+
+
+# --- Word and slides over rows of packages -------------------------------------------------------
+
+
+@query("SELECT p_partkey // 50 AS doc_id, CAST(p_partkey AS VARCHAR) AS style, CAST((p_partkey - p_partkey % 5) % 6 + 1 AS INT) AS heading FROM part")
+def style_chains(spark, sf):
+    """Styles that rest on the one before, back to a heading."""
+    k = F.col("p_partkey")
+    one = F.struct(
+        k.cast("string").alias("id"), F.when(k % 5 == 0, F.concat(F.lit("heading "), (k % 6 + 1).cast("string"))).otherwise(F.col("p_name")).alias("name"), F.lit(None).cast("int").alias("outline"),
+        F.lit(None).cast("string").alias("num_id"), F.lit(None).cast("int").alias("ilvl"), F.when(k % 5 != 0, (k - 1).cast("string")).alias("based_on"),
+    )
+    packages = t(spark, sf, "part").groupBy(F.floor(k / 50).alias("doc_id")).agg(F.collect_list(one).alias("styles"))
+    return word.style_levels(packages).select("doc_id", "style", "heading")
+
+
+@query(
+    "WITH s AS (SELECT o_custkey % 20 AS doc_id, o_orderkey AS z, 'L' || (o_orderkey % 3) AS layout, CAST(o_orderkey % 7 AS VARCHAR) AS idx, o_orderstatus AS type FROM orders), "
+    "h AS (SELECT c_custkey % 20 AS doc_id, CASE WHEN c_custkey % 4 < 3 THEN 'L' || (c_custkey % 4) ELSE 'M' END AS part, c_custkey AS seq, CAST(c_custkey // 20 % 9 AS VARCHAR) AS idx, substr('FOP', CAST(c_nationkey % 3 AS INT) + 1, 1) AS type FROM customer), "
+    "p AS (SELECT s.doc_id, s.z, h.part = 'M' AS master, h.seq, row_number() OVER (PARTITION BY s.z, h.part = 'M' ORDER BY h.idx <> s.idx, h.seq) AS n FROM s JOIN h ON h.doc_id = s.doc_id AND (h.part = s.layout OR h.part = 'M') AND (h.idx = s.idx OR h.type = s.type)) "
+    "SELECT doc_id, z, max(CASE WHEN NOT master THEN seq END) AS of_layout, max(CASE WHEN master THEN seq END) AS of_master FROM p WHERE n = 1 GROUP BY doc_id, z"
+)
+def placeholder_matches(spark, sf):
+    """Placeholders find their like on the layout and the master: by index, then by type."""
+    o, c = F.col("o_orderkey"), F.col("c_custkey")
+    shapes = t(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("doc_id"), o.alias("z"), (o % 3).alias("slide_no"), F.lit(True).alias("ph"), (o % 7).cast("string").alias("ph_idx"), F.col("o_orderstatus").alias("ph_type"))
+    pages = shapes.select("doc_id", "slide_no", F.concat(F.lit("L"), F.col("slide_no").cast("string")).alias("layout"), F.lit("M").alias("master")).distinct()
+    part = F.when(c % 4 < 3, F.concat(F.lit("L"), (c % 4).cast("string"))).otherwise("M")
+    holders = t(spark, sf, "customer").select((c % 20).alias("doc_id"), part.alias("part"), c.alias("seq"), (F.floor(c / 20) % 9).cast("string").alias("idx"), F.substring(F.lit("FOP"), (F.col("c_nationkey") % 3 + 1).cast("int"), F.lit(1)).alias("type"), c.alias("y"), c.alias("x"), F.lit(0).alias("levels"))
+    return slides.inherited(shapes, pages, holders).select("doc_id", "z", F.col("l.y").alias("of_layout"), F.col("m.y").alias("of_master"))
+
+
+@query(
+    "WITH b AS (SELECT conv_id AS doc_id, turn, CASE WHEN turn % 4 < 2 THEN '- ' || role WHEN turn % 4 = 2 THEN '1. ' || role ELSE role END AS text, CASE WHEN turn % 4 < 2 THEN '-' WHEN turn % 4 = 2 THEN '1.' END AS kind FROM conversations), "
+    "g AS (SELECT *, lag(kind) OVER w AS before, row_number() OVER w AS n FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY turn)) "
+    "SELECT doc_id, string_agg(CASE WHEN n = 1 THEN '' WHEN kind = before THEN chr(10) ELSE chr(10) || chr(10) END || text, '' ORDER BY turn) AS body FROM g GROUP BY doc_id"
+)
+def block_gaps(spark, sf):
+    """Items of one list follow each other without a blank line."""
+    mark = F.when(F.col("turn") % 4 < 2, F.lit("- ")).when(F.col("turn") % 4 == 2, F.lit("1. ")).otherwise(F.lit(""))
+    rows = t(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(1).alias("unit_no"), F.col("turn").alias("block"), F.concat(mark, "role").alias("text"), F.lit(None).cast("int").alias("level"), F.array().cast("array<string>").alias("warnings"))
+    return word.sections(rows).select("doc_id", "body")
