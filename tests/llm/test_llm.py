@@ -347,6 +347,35 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs, table.limit(0)).filter("score = 0").count() == len(data)
 
 
+def test_clean_terms_beyond_the_dictionary(spark, monkeypatch):
+    """However few clean-class terms the workers hold, every one counts with its weight."""
+    r = random.Random(21)
+    words, calm = [f"w{i}" for i in range(200)], [f"calm{i}" for i in range(40)]
+    data, labels = [], []
+    for i in range(1500):
+        bad = i % 2 == 0
+        data.append(" ".join(r.choices(words, k=20) + (["you", "moron", "idiot"] if bad else r.choices(calm, k=8))))
+        labels.append((i, int(bad)))
+    data += [" ".join(["moron", *r.choices(calm, k=k), "Idiot", *r.choices(calm, k=k), "you"]) for k in (1, 2, 4, 4, 9)]
+    data += [data[1502], None, "", "\u0130 calm3 MORON calm4 idiot calm4"]
+    docs, table = frame(spark, data), spark.createDataFrame(labels, "doc_id long, toxic int")
+    made = []
+    for limit in (100_000, 2):
+        monkeypatch.setattr(toxicity, "CLEAN_TERMS", limit)
+        rows = toxicity.score_documents(docs, table).collect()
+        made.append(({x.doc_id: x for x in rows}, {x.doc_id for x in toxicity.drop_toxic(docs, table).collect()}))
+        assert len(rows) == len(data)
+    (whole, kept), (rows, left) = made
+    assert left == kept
+    for i, x in whole.items():
+        assert rows[i].evidence == pytest.approx(x.evidence, rel=1e-6) and rows[i].score == pytest.approx(x.score)
+        assert [(p.start, p.end, round(p.score, 9)) for p in rows[i].passages] == [(p.start, p.end, round(p.score, 9)) for p in x.passages]
+    assert len({rows[i].evidence for i in range(1500, 1504)}) > 1  # clean-class terms matter here
+    monkeypatch.setattr(toxicity, "CLEAN_TERMS", 0)
+    model = toxicity.fit(docs, table)
+    assert model.rest.count() == model.n_rest >= 30 and min(model.weights.values()) > 0
+
+
 # --- 5 ------------------------------------------------------------------------------------
 
 
