@@ -84,15 +84,30 @@ def trimmed(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # no such function in this C library
-                pass
+            release()
 
     return of
 
 
+def release() -> None:
+    """Gives this process's free memory back."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such function in this C library
+        pass
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20) -> None:
+    """From now on, Python workers of this session get batches of so many rows and bytes at most (fewer
+    where the session says so). Each batch of whole texts is held by the executor's JVM outside its
+    heap, and again by the worker."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+        spark.conf.set(key, str(min(most, now) if now > 0 else most))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

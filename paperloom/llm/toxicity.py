@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sized, text_or_empty
+from .common import materialise, sized, text_or_empty, trimmed
 
 #: Clean-class terms in the dictionary that each worker holds; the others are joined.
 CLEAN_TERMS = 100_000
@@ -246,6 +246,8 @@ def measure(model: Model):
                 found.append([{"start": s, "end": t, "score": v, "e": e} for s, t, v, e in parts])
             yield pd.DataFrame({"evidence": evidence, "tokens": sizes, "top": tops, "passages": found})
 
+    run = trimmed(run)
+
     @F.pandas_udf(kind)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from run((texts, None, None) for texts in batches)

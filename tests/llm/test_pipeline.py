@@ -85,3 +85,29 @@ def kept_of_near(rows):
                 root[y] = x
     gone = {i for i in ids if find(i) != i}
     return set(ids) - gone
+
+
+def test_stages_use_small_batches(spark, corpus):
+    """What a stage hands to a Python worker at a time stays small, in rows and in bytes; a session
+    that asks for less keeps that."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    keys = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.from_pydict({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    for key in keys:
+        spark.conf.unset(key)
+    for name, stage in pipeline.STAGES[1:]:
+        stage(spark, docs.limit(0), corpus)
+        assert [int(spark.conf.get(key)) for key in keys] == [1_000, 4 << 20], name
+    rows = spark.range(0, 5_000, 1, 1)
+    assert max(r.n for r in rows.mapInArrow(sizes, "n long, size long").collect()) <= 1_000
+    long = spark.range(0, 300, 1, 1).selectExpr("repeat('x', 100000) AS text")
+    assert max(r.size for r in long.mapInArrow(sizes, "n long, size long").collect()) <= 5 << 20
+    spark.conf.set(keys[0], "100")
+    pipeline.encode(spark, docs, corpus)
+    assert spark.conf.get(keys[0]) == "100"
+    spark.conf.unset(keys[0])
