@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
-Stages follow each other in the same executors, so their Python workers get small batches.
+Stages follow each other in the same executors, so each begins by giving back the heap that those
+before it needed, and their Python workers get small batches.
 """
 
 from __future__ import annotations
@@ -10,37 +11,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import lsm_dedup, mixing, ngram_join, sentencepiece_bpe, toxicity
-from paperloom.llm.common import remove, scratch, small_batches, table, write_table
+from paperloom.llm.common import remove, scratch, shrink_heaps, small_batches, table, write_table
 from paperloom.llm.queries import tokenizer_path
 
 
+def begin(spark: SparkSession) -> None:
+    shrink_heaps(spark)
+    small_batches(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
-    small_batches(spark)
+    begin(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays, that with the largest doc_id."""
-    small_batches(spark)
+    begin(spark)
     return lsm_dedup.drop_copies(docs, keep="max")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays."""
-    small_batches(spark)
+    begin(spark)
     return ngram_join.drop_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of each source by its target; what is taken twice gives two rows."""
-    small_batches(spark)
+    begin(spark)
     return mixing.mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every row that the mix took."""
-    small_batches(spark)
+    begin(spark)
     return sentencepiece_bpe.encode_decode(docs, tokenizer_path())
 
 

@@ -108,6 +108,14 @@ def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20) -
         spark.conf.set(key, str(min(most, now) if now > 0 else most))
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Gives back the heap that executors no longer need: a JVM keeps what earlier work made it grow by
+    until a full collection, and that adds to what later work's Python workers take. As many tasks
+    as there are cores, so each executor has some; a heap that none reaches just stays as it is."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

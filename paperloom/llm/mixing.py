@@ -31,13 +31,14 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, sized, word_count
+from .common import materialise, sized, trimmed, word_count
 
 SHARD_WORDS = 1_000_000
 #: Shards of a source that share a quota before it is dealt out to each.
@@ -249,11 +250,15 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def taken_texts():
     """copies_of() as a function of struct columns, in Arrow batches."""
 
+    @trimmed
+    def run(batches):
+        for cuts in batches:
+            text, *numbers = (cuts.field(i) for i in range(6))
+            rows = zip(*(x.to_pylist() for x in numbers), strict=True)
+            yield pa.array([copies_of(t.as_py(), *row) for t, row in zip(text, rows, strict=True)], pa.list_(pa.string()))
+
     @F.arrow_udf("array<string>")
-    def taken(cuts: pa.Array) -> pa.Array:
-        text, *numbers = (cuts.field(i) for i in range(6))
-        rows = zip(*(x.to_pylist() for x in numbers), strict=True)
-        made = pa.array([copies_of(t.as_py(), *row) for t, row in zip(text, rows, strict=True)], pa.list_(pa.string()))
-        return made
+    def taken(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run(batches)
 
     return taken

@@ -111,3 +111,27 @@ def test_stages_use_small_batches(spark, corpus):
     pipeline.encode(spark, docs, corpus)
     assert spark.conf.get(keys[0]) == "100"
     spark.conf.unset(keys[0])
+
+
+def test_stages_give_heap_back(spark, corpus, monkeypatch):
+    """A stage begins with little heap, not with what work before it grew the heap by."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    at = []
+
+    class Begun(Exception):
+        pass
+
+    def begun(spark):
+        at.append(heap.totalMemory())
+        raise Begun
+
+    monkeypatch.setattr(pipeline, "small_batches", begun)
+    for name, stage in pipeline.STAGES:
+        spark.range(0, 8, 1, 4).selectExpr("sum(length(repeat('x', cast(400000000 + id AS int))))").collect()
+        grown = heap.totalMemory()
+        assert grown >= 1 << 30
+        with pytest.raises(Begun):
+            stage(spark, docs, corpus)
+        assert at[-1] <= grown - (500 << 20), name
