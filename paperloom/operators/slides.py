@@ -37,14 +37,17 @@ def inherited(shapes: DataFrame, slides: DataFrame, holders: DataFrame) -> DataF
     """For each placeholder shape its match on the layout and on the master: by index first,
     then by type, the first of the part. (doc_id, z, l, m) with structs<y, x, levels>."""
     ph = shapes.filter("ph").join(slides.select("doc_id", "slide_no", "layout", "master"), ["doc_id", "slide_no"])
+    at = F.struct("y", "x", "levels")
 
-    def match(part: str, name: str) -> DataFrame:
-        h = holders.select("doc_id", F.col("part").alias(part), "seq", "idx", "type", F.struct("y", "x", "levels").alias(name))
-        by_idx, by_type = F.col("idx") == F.col("ph_idx"), F.col("type") == F.col("ph_type")
-        pairs = ph.select("doc_id", "z", "ph_type", "ph_idx", part).join(h, ["doc_id", part]).filter(by_idx | by_type)
-        return pairs.groupBy("doc_id", "z").agg(F.min_by(name, F.struct(F.when(by_idx, 0).otherwise(1), "seq")).alias(name))
+    def firsts(rank: int, key: str) -> DataFrame:
+        """Of a part's placeholders with one index or type only the first can be a match."""
+        one = holders.filter(F.col(key).isNotNull()).groupBy("doc_id", "part", F.lit(rank).alias("rank"), F.col(key).alias("key"))
+        return one.agg(F.min_by(F.struct("seq", at.alias("at")), F.struct("seq")).alias("h"))
 
-    return match("layout", "l").join(match("master", "m"), ["doc_id", "z"], "full_outer")
+    looks = F.array(*(F.struct(F.lit(of).alias("of"), F.col(part).alias("part"), F.lit(rank).alias("rank"), F.col(key).alias("key")) for of, part in (("l", "layout"), ("m", "master")) for rank, key in ((0, "ph_idx"), (1, "ph_type"))))
+    found = ph.select("doc_id", "z", F.inline(looks)).join(firsts(0, "idx").unionByName(firsts(1, "type")), ["doc_id", "part", "rank", "key"])
+    best = lambda of: F.min_by("h.at", F.when(F.col("of") == of, F.struct("rank", "h.seq"))).alias(of)
+    return found.groupBy("doc_id", "z").agg(best("l"), best("m"))
 
 
 def text_bodies(bodies: DataFrame) -> DataFrame:
