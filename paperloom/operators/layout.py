@@ -89,4 +89,4 @@ def reading_order(shapes: DataFrame, height: Column) -> DataFrame:
     """shapes with place: rank by row (a twentieth of the slide's height), then left to right;
     what has no position comes last, ties keep their drawing order z."""
     row = F.floor(F.col("y") / F.greatest(F.lit(1), F.floor(height * 0.05)))
-    return shapes.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "slide_no").orderBy(row, "x", "z")))
+    return shapes.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "slide_no").orderBy(*(F.asc_nulls_last(c) for c in (row, "x", "z")))))
