@@ -19,6 +19,7 @@ from ..messages import REPORT, REVIEW_REPORT, UNIT_OF  # noqa: F401
 
 SPARSE_CHARS = 60
 RETRY_SHARE, RETRY_CHARS = 0.75, 200
+STRETCH = 10_000
 
 
 def unit_of(kind: Column) -> Column:
@@ -35,13 +36,20 @@ def with_edits(units: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def next_warned(units: DataFrame) -> DataFrame:
-    """For each unit the nearest units with warnings before and after it."""
-    order = Window.partitionBy("doc_id").orderBy("unit_no")
+    """For each unit the nearest units with warnings before and after it: within its stretch of unit
+    numbers by one pass up and one down, else from the nearest stretch that has any. So a long
+    document is shared out, and no pass looks ahead over the rest of it."""
+    before = lambda order: order.rowsBetween(Window.unboundedPreceding, -1)
+    sides = lambda by, n: (before(by.orderBy(F.asc_nulls_last(n))), before(by.orderBy(F.desc_nulls_first(n))))
     warned = F.when(F.size("warnings") > 0, F.col("unit_no"))
-    return units.withColumns({
-        "previous_warned": F.last(warned, True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
-        "next_warned": F.first(warned, True).over(order.rowsBetween(1, Window.unboundedFollowing)),
-    })
+    rows = units.withColumn("stretch", F.floor(F.col("unit_no") / STRETCH))
+    up, down = sides(Window.partitionBy("doc_id", "stretch"), "unit_no")
+    near = rows.withColumns({"previous_warned": F.last(warned, True).over(up), "next_warned": F.last(warned, True).over(down)})
+    edges = rows.groupBy(F.col("doc_id").alias("d"), F.col("stretch").alias("s")).agg(F.max(warned).alias("last"), F.min(warned).alias("first"))
+    up, down = sides(Window.partitionBy("d"), "s")
+    edges = edges.select("d", "s", F.last("last", True).over(up).alias("p"), F.last("first", True).over(down).alias("n"))
+    out = near.join(edges, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("stretch").eqNullSafe(F.col("s")), "left")
+    return out.withColumns({"previous_warned": F.coalesce("previous_warned", "p"), "next_warned": F.coalesce("next_warned", "n")}).drop("stretch", "d", "s", "p", "n")
 
 
 # --- warnings ----------------------------------------------------------------------------
